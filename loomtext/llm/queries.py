@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import table
+from .decontaminate import contaminated_documents
+from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_shards import read_shards, write_shards
 
@@ -29,3 +32,24 @@ def op2_token_shards(spark, sf_dir):
     """Ids of every whole text, written to sorted shards in doc_id order and read back."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("number"), "doc_id", "text")
     return read_shards(write_shards(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@_query
+def op3_decontamination(spark, sf_dir):
+    """Documents that hold passages of the benchmark."""
+    return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op4_mixing(spark, sf_dir):
+    """The scheduled place of every document."""
+    return mixing.schedule(table(spark, sf_dir, "documents")).drop("tie")
+
+
+ORACLES["op4_mixing"] = mixing.ORACLE
+
+
+@_query
+def op7_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -105,10 +105,10 @@ edf AS (
   UNION ALL
   SELECT t + 1, list_transform(had, lambda v, i: v + CASE WHEN i = k THEN 1 ELSE 0 END), k
   FROM (SELECT t, had, list_min(list_transform(range(1, len(ns) + 1), lambda i: CASE WHEN had[i] * q // ns[i] <= t THEN (((had[i] + 1) * q + ns[i] - 1) // ns[i]) * 1000000 + i END)) % 1000000 AS k FROM edf, p WHERE t < q)),
-plan AS (SELECT ss[pick] AS src, ns[pick] AS n, q, t - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM edf, p WHERE t > 0),
+plan AS (SELECT ss[pick] AS src, ns[pick] AS n, q, t - 1 AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM edf, p WHERE t > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY mix, doc_id) - 1 AS rank FROM d),
 b AS (SELECT r.*, rank // 64 AS block, n, q FROM r JOIN (SELECT DISTINCT src, n, q FROM plan) USING (src))
-SELECT doc_id, source, block, (block // b.n) * b.q + at AS slot, block * b.q // b.n AS release, ((block + 1) * b.q + b.n - 1) // b.n AS deadline,
-  row_number() OVER (ORDER BY (block // b.n) * b.q + at, rank) - 1 AS position
+SELECT doc_id, source, block, (block // b.n) * b.q + place AS slot, block * b.q // b.n AS release, ((block + 1) * b.q + b.n - 1) // b.n AS deadline,
+  row_number() OVER (ORDER BY (block // b.n) * b.q + place, rank) - 1 AS position
 FROM b JOIN plan ON b.src = plan.src AND plan.j = block % b.n
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import langid, mixing, toxicity
 from .common import table
 from .decontaminate import contaminated_documents
 from .simhash import near_duplicates
@@ -53,3 +53,17 @@ ORACLES["op4_mixing"] = mixing.ORACLE
 def op7_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op10_langid(spark, sf_dir):
+    """Language of every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import langid, mixing, toxicity
+from .ann import nearest
 from .common import table
 from .decontaminate import contaminated_documents
 from .simhash import near_duplicates
@@ -67,3 +68,9 @@ def op10_langid(spark, sf_dir):
     """Language of every whole text."""
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
+
+
+@_query
+def op5_nearest(spark, sf_dir):
+    """The 20 largest inner products of every 20th vector."""
+    return nearest(table(spark, sf_dir, "embeddings"))

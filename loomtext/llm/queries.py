@@ -9,6 +9,7 @@ from . import langid, mixing, toxicity
 from .ann import nearest
 from .common import table
 from .decontaminate import contaminated_documents
+from .repeats import without_repeats
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_shards import read_shards, write_shards
@@ -74,3 +75,9 @@ def op10_langid(spark, sf_dir):
 def op5_nearest(spark, sf_dir):
     """The 20 largest inner products of every 20th vector."""
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op8_repeats(spark, sf_dir):
+    """What remains of every document without its repeated strings of 400 bytes."""
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")

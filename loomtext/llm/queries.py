@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, mixing, toxicity
+from . import langid, licenses, mixing, toxicity
 from .ann import nearest
 from .common import table
 from .decontaminate import contaminated_documents
@@ -81,3 +81,10 @@ def op5_nearest(spark, sf_dir):
 def op8_repeats(spark, sf_dir):
     """What remains of every document without its repeated strings of 400 bytes."""
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@_query
+def op9_licenses(spark, sf_dir):
+    """Licence paragraphs of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))

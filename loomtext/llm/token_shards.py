@@ -25,6 +25,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from . import unit_bpe
 from .common import scratch, written
@@ -199,6 +200,20 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     return written(ranged.mapInArrow(_write(folder, tokenizer_path, end_id), _MANIFEST), "shard-manifest")
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """number, doc_id, text: rows of a Parquet table numbered by its files (part and chunk number) and the rows in them.
+
+    A table that is no direct file scan has no written order and is numbered by doc_id.
+    """
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+    except AnalysisException:
+        return docs.select(F.col("doc_id").alias("number"), "doc_id", "text")
+    file = [F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(f, '{p}', 1), '') as long)"), F.lit(0)) for p in (r"part-([0-9]{1,7})", r"c([0-9]{1,4})[.]")]
+    number = F.shiftleft(file[0] * 1000 + F.pmod(file[1], F.lit(1000)), 28) + F.col("r")
+    return placed.select(number.alias("number"), "doc_id", "text")
+
+
 def _read(batches):
     for b in batches:
         for r in b.to_pylist():

@@ -265,19 +265,17 @@ def train(texts: list[bytes], labels: list[int], prior: float, steps: int = 500,
                 v[k] = 0.999 * v[k] + 0.001 * d * d
                 net.p[k] -= (rate * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.999 ** (step + 1))) + 1e-8)).astype(np.float32)
     model._forget()
-    check = held if len(held) and 0 < y[held].sum() < len(held) else learn
+    check = held if min((y[held] == k).sum() for k in (0, 1)) >= 20 else order
     s, t = model.logits([docs[i] for i in check]), y[check].astype(float)
     share = min(max(t.mean(), 1e-6), 1 - 1e-6)
-    weight = np.where(t > 0, max(prior, 1e-3) / share, (1 - prior) / (1 - share))
-    a, b = 1.0, 0.0
-    for _ in range(200):  # logistic fit of scale and shift, slightly held to its start
-        p = 1 / (1 + np.exp(-np.clip(a * s + b, -60, 60)))
-        r, h = weight * (p - t), weight * p * (1 - p) + 1e-6
-        ga, gb = (r * s).sum() + 0.1 * (a - 1), r.sum() + 0.1 * b
-        haa, hab, hbb = (h * s * s).sum() + 0.1, (h * s).sum(), h.sum() + 0.1
-        det = haa * hbb - hab * hab
-        a, b = a - 0.5 * (hbb * ga - hab * gb) / det, b - 0.5 * (haa * gb - hab * ga) / det
-    model.scale, model.shift = max(0.05, float(a)), float(b)
+    weight = np.where(t > 0, min(max(prior, 1e-3), 0.999) / share, (1 - min(max(prior, 1e-3), 0.999)) / (1 - share)) / len(t)
+
+    def loss(at: tuple[float, float]) -> float:
+        z = np.where(t > 0, -1, 1) * (at[0] * s + at[1])
+        return float((weight * np.logaddexp(0, z)).sum() + 1e-3 * (at[0] - 1) ** 2 + 1e-4 * at[1] ** 2)
+
+    if len(check):
+        model.scale, model.shift = min(((a, b) for a in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8) for b in np.arange(-10, 10.25, 0.25).tolist()), key=loss)
     return model
 
 

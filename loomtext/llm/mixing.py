@@ -31,11 +31,11 @@ def _source(c: str = "source") -> Column:
 
 def target_weights(counts: DataFrame, weights: dict[str, int] | None = None, scale: int = 1000) -> DataFrame:
     """(src, n): whole weights; those given, else scale times the square root of a source's share of the rows, at least 1."""
-    total = counts.agg(F.sum("rows").alias("total"))  # one row
-    rule = F.greatest(F.lit(1), F.floor(F.lit(scale) * F.sqrt(F.col("rows").cast("double") / F.col("total")))).cast("long")
+    total = F.sum("rows").over(Window.partitionBy(F.lit(1)))  # a row for each source
+    rule = F.greatest(F.lit(1), F.floor(F.lit(scale) * F.sqrt(F.col("rows").cast("double") / total))).cast("long")
     for name, n in (weights or {}).items():
         rule = F.when(F.col("src") == F.lit("=" + name), F.lit(n).cast("long")).otherwise(rule)
-    return counts.crossJoin(F.broadcast(total)).select("src", rule.alias("n"))
+    return counts.select("src", rule.alias("n"))
 
 
 def period(weights: DataFrame) -> DataFrame:

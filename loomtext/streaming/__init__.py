@@ -1 +1 @@
-
+"""The reference system has no streams; this package is empty on purpose."""

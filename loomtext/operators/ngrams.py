@@ -47,12 +47,12 @@ def collocations(sentences: DataFrame, stop: frozenset[str], n: int = 2, min_fre
     """
     marked = sentences.select(F.concat(F.col(toks), F.array(F.lit("</s>"))).alias("toks"))
     unit = marked.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    total = unit.agg(F.sum("c").cast("double").alias("N"))
+    total = unit.agg(F.sum("c").cast("double").alias("_total"))
     grams = clean_edges(ngrams(sentences, n, toks), stop).filter(F.col("count") >= min_freq).withColumnRenamed("count", "n")
     for i in range(n):
         grams = grams.withColumn(f"w{i}", F.element_at("gram", i + 1)).join(unit.select(F.col("w").alias(f"w{i}"), F.col("c").cast("double").alias(f"c{i}")), f"w{i}")
     grams = grams.join(F.broadcast(total))  # one row
-    N, k = F.col("N"), F.col("n").cast("double")
+    N, k = F.col("_total"), F.col("n").cast("double")
     expected = F.col("c0")
     for i in range(1, n):
         expected = expected * F.col(f"c{i}") / N

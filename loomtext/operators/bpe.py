@@ -129,7 +129,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     toks = docs.select(F.explode(word_level(F.col("text"))).alias("token")).distinct()
     first = toks.withColumn("h", F.substring("token", 1, 2))
     before = first.groupBy("h").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("h")) - F.col("n"))
-    ids = first.join(F.broadcast(before.select("h", "before")), "h").select("token", (F.col("before") + F.row_number().over(Window.partitionBy("h").orderBy("token")) - 1).alias("id"))
+    ids = first.join(before.select("h", "before"), "h").select("token", (F.col("before") + F.row_number().over(Window.partitionBy("h").orderBy("token")) - 1).alias("id"))
     n = toks.agg(F.count("*").alias("n"))
     return ids.union(n.select(F.explode(F.array(F.struct(F.lit(END_OF_TEXT).alias("token"), F.col("n").alias("id")), F.struct(F.lit(UNKNOWN).alias("token"), (F.col("n") + 1).alias("id")))).alias("x")).select("x.*"))
 

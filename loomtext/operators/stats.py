@@ -33,33 +33,51 @@ def with_totals(df: DataFrame, by: str, measures: list[str]) -> DataFrame:
     return out.union(total.select(label("AVERAGE"), *[F.round(F.col(m) / F.col("n"), 1).alias(m) for m in measures]))
 
 
+def ranked(counts: DataFrame) -> DataFrame:
+    """Adds the rank of (term, count) by falling count, then term.
+
+    Types of one count and beginning are ranked apart, and the sizes of the groups before are
+    added: only the small table of groups is ordered as a whole.
+    """
+    c = counts.withColumn("_h", F.substring("term", 1, 3))
+    sizes = c.groupBy("count", "_h").agg(F.count("*").alias("_n"))
+    before = sizes.select("count", "_h", (F.sum("_n").over(Window.orderBy(F.desc("count"), "_h")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("count", "_h").orderBy("term"))
+    return c.withColumn("_i", inside).join(before, ["count", "_h"]).select("term", "count", (F.col("_before") + F.col("_i")).alias("rank"))
+
+
 def zipf(counts: DataFrame) -> DataFrame:
     """(types, slope) of the least-squares line of log frequency over log rank; counts has one row for each type."""
-    ranked = counts.select(F.row_number().over(Window.orderBy(F.desc("count"), "term")).alias("r"), "count")
-    return ranked.agg(F.count("*").alias("types"), F.round(F.regr_slope(F.log10("count"), F.log10("r")), 3).alias("slope"))
+    return ranked(counts).agg(F.count("*").alias("types"), F.round(F.regr_slope(F.log10("count"), F.log10("rank")), 3).alias("slope"))
 
 
 def zipf_points(counts: DataFrame, n: int = 400) -> DataFrame:
     """(rank, term, count) at about n ranks spread evenly on the log scale."""
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "term")))
     size = counts.agg(F.count("*").alias("types"))
     marks = size.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.greatest(F.lit(1), F.round(F.pow(F.lit(10.0), k * F.log10("types") / n)).cast("int"))))).alias("rank"))
-    return ranked.join(F.broadcast(marks), "rank").select("rank", "term", "count")
+    return ranked(counts).join(F.broadcast(marks), "rank").select("rank", "term", "count")  # at most n + 1 marks
 
 
 def heaps_points(toks: DataFrame, steps: int = 60) -> DataFrame:
     """(tokens, vocabulary) after each of ``steps`` even marks of the running text (documents by id).
 
-    Global token numbers come from per-document totals, and a type counts from its first
-    occurrence: nothing runs over the tokens in one task.
+    Global token numbers come from per-document totals, summed by runs of neighbouring ids and
+    then inside them, and a type counts from its first occurrence: nothing runs over the tokens
+    in one task.
     """
     words = toks.select("doc_id", "pos", F.lower("surface").alias("w"))
     inside = words.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
-    sizes = words.groupBy("doc_id").agg(F.count("*").alias("n"))
-    before = sizes.select("doc_id", (F.sum("n").over(Window.orderBy("doc_id")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
-    first = inside.join(before, "doc_id").groupBy("w").agg(F.min(F.col("before") + F.col("i")).alias("at"), F.first("all").alias("all"))
-    mark = first.select("at", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k"), "all").withColumn("tokens", F.greatest(F.lit(1), F.floor(F.col("all") * F.col("k") / steps)).cast("long"))
-    return mark.filter("at <= tokens").groupBy("tokens").agg(F.countDistinct("at").alias("vocabulary"))
+    numeric = dict(words.dtypes)["doc_id"] in ("int", "bigint")
+    run = F.shiftright(F.col("doc_id"), 12) if numeric else F.substring("doc_id", F.lit(1), F.length("doc_id") - 3)
+    sizes = words.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("run", run)
+    runs = sizes.groupBy("run").agg(F.sum("n").alias("n"))
+    order = [F.length("run"), "run"] if not numeric else ["run"]
+    runs = runs.select("run", (F.sum("n").over(Window.orderBy(*order)) - F.col("n")).alias("runs_before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
+    before = sizes.join(runs, "run").select("doc_id", (F.col("runs_before") + F.sum("n").over(Window.partitionBy("run").orderBy("doc_id")) - F.col("n")).alias("before"), "all")
+    first = inside.join(before, "doc_id").groupBy("w").agg(F.min(F.col("before") + F.col("i")).alias("born"), F.first("all").alias("all"))
+    marks = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: F.greatest(F.lit(1), F.floor(F.col("all") * k / steps)).cast("long")))
+    born = first.select(F.array_min(F.filter(marks, lambda m: m >= F.col("born"))).alias("tokens")).groupBy("tokens").agg(F.count("*").alias("n"))
+    return born.select("tokens", F.sum("n").over(Window.orderBy("tokens")).alias("vocabulary"))  # a row for each mark
 
 
 def power_fit(points: DataFrame, x: str, y: str) -> DataFrame:

@@ -141,3 +141,51 @@ def verb_object_pairs(tokens: DataFrame) -> DataFrame:
         return pd.Series([[{"verb": w[m.start()], "object": w[m.end() - 1]} for m in re.finditer("vd?j*n+", k)] for k, w in zip(kinds, map(list, words))])
 
     return s.select("doc_id", "sent_no", F.explode(pairs(kind, F.transform("t", lambda x: x["surface"]))).alias("p")).select("doc_id", "sent_no", "p.*")
+
+
+class HmmTagger:
+    """Bigram hidden Markov model with Viterbi decoding; unseen words go by their shape and ending. A substitute for a CRF."""
+
+    def __init__(self, sentences: list[list[tuple[str, str]]]):
+        self.step, self.emit, self.end, self.n = Counter(), Counter(), Counter(), Counter()
+        for s in sentences:
+            before = "<s>"
+            for w, t in s:
+                self.step[before, t] += 1
+                self.emit[t, w.lower()] += 1
+                self.end[t, self._ending(w)] += 1
+                self.n[t] += 1
+                before = t
+            self.step[before, "</s>"] += 1
+        self.tags = sorted(self.n)
+        self.words = {w for _, w in self.emit}
+        self.out = Counter()
+        for (a, _), c in self.step.items():
+            self.out[a] += c
+
+    @staticmethod
+    def _ending(w: str) -> str:
+        return "0" if re.search(r"\d", w) else "A" if w[:1].isupper() else w[-2:].lower()
+
+    def _score(self, t: str, w: str) -> float:
+        from math import log
+
+        seen = self.emit[t, w.lower()] if w.lower() in self.words else 0.1 * self.end[t, self._ending(w)]
+        return log((seen + 1e-3) / (self.n[t] + 1))
+
+    def tag(self, words: list[str]) -> list[str]:
+        from math import log
+
+        best: dict[str, tuple[float, tuple]] = {"<s>": (0.0, ())}
+        for w in words:
+            best = {t: max((v + log((self.step[p, t] + 0.1) / (self.out[p] + 1)) + self._score(t, w), (*path, t)) for p, (v, path) in best.items()) for t in self.tags}
+        return list(max(best.values(), default=(0.0, ()))[1])
+
+
+def word_features(tokens: DataFrame) -> DataFrame:
+    """Features of each token and its neighbours in the sentence, for a sequence model."""
+    w = Window.partitionBy("doc_id", "sent_no").orderBy("tok_no")
+    c = F.col("surface")
+    own = {"low": F.lower(c), "suffix2": F.lower(F.substring(c, -2, 2)), "suffix3": F.lower(F.substring(c, -3, 3)), "prefix2": F.lower(F.substring(c, 1, 2)), "shape": shape(c), "capital": c.rlike(r"^[\p{Lu}]"), "upper": c.rlike(r"^[\p{Lu}]{2,}$"), "digit": c.rlike("[0-9]"), "hyphen": c.contains("-"), "slash": c.contains("/"), "number": c.rlike(NUMBER)}
+    near = {"before": F.coalesce(F.lower(F.lag("surface").over(w)), F.lit("<s>")), "after": F.coalesce(F.lower(F.lead("surface").over(w)), F.lit("</s>")), "shape_before": F.coalesce(shape(F.lag("surface").over(w)), F.lit("")), "shape_after": F.coalesce(shape(F.lead("surface").over(w)), F.lit(""))}
+    return tokens.withColumns(own | near)

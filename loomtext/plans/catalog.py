@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import cleaning as C
 from ..functions import normalize as N
 from ..functions import tokenizers as K
-from ..operators import bpe, entities, evaluate, evidence, ngrams, stats, tagging
+from ..operators import bpe, entities, evaluate, evidence, experiments, ngrams, stats, tagging
 from ..operators import pipeline as P
 from ..operators.index import PositionalIndex, fidelity
 from ..operators.search import Engine, snippet
@@ -804,6 +804,76 @@ def verb_objects(spark, sf):
     return tagging.verb_object_pairs(tagging.rule_tags(toks(spark, sf))).groupBy("verb", "object").agg(F.count("*").alias("n"))
 
 
+@query()
+def hmm_tags(spark, sf):
+    """A sequence model trained on rule-tagged sentences of the even documents, on the tokens of all."""
+    t = tagging.rule_tags(toks(spark, sf, PLAIN)).filter("doc_id < 40")
+    s = t.groupBy("doc_id", "sent_no").agg(F.sort_array(F.collect_list(F.struct("tok_no", "surface", "tag"))).alias("t"))
+    train = [[(x.surface, x.tag) for x in r.t] for r in s.filter("doc_id % 2 = 0").orderBy("doc_id", "sent_no").limit(40).collect()]
+    model = tagging.HmmTagger(train)
+
+    @F.pandas_udf("array<string>")
+    def run(w):
+        return w.map(lambda x: model.tag(list(x)[:60]))
+
+    return s.filter("doc_id % 2 = 1 and doc_id < 6").select(F.explode(run(F.transform("t", lambda x: x["surface"]))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query()
+def backoff_tags(spark, sf):
+    """The back-off chain on gold-like sentences."""
+    model = tagging.BackoffTagger([[("the", "DT"), ("run", "NN")], [("to", "TO"), ("run", "VB")], [("add", "VB"), ("the", "DT"), ("tops", "NNS")]])
+    d = _rows(spark, [("to run the run",), ("adding 3/4",)], "text string")
+    return d.select("text", F.array_join(model.column(K.whitespace(F.col("text"))), " ").alias("tags"))
+
+
+@query()
+def word_features(spark, sf):
+    return tagging.word_features(toks(spark, sf)).groupBy("shape").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ experiments
+@query(TOK + f", q AS (SELECT *, {_STEM} AS norm FROM tok) SELECT 'tokens' AS measure, count(*) AS before, count(*) FILTER (is_word AND norm NOT IN {NLTK}) AS after FROM q UNION ALL SELECT 'vocabulary', count(DISTINCT surface), count(DISTINCT norm) FILTER (is_word AND norm NOT IN {NLTK}) FROM q")
+def before_after(spark, sf):
+    return experiments.before_after(toks(spark, sf, STEMMED))
+
+
+_GOLD_TOKENS = [("t1", "I ate 3/4 of it", ["I", "ate", "3/4", "of", "it"]), ("t2", "paid $3,650 on 2026-09-01", ["paid", "$3,650", "on", "2026-09-01"])]
+
+
+@query(f"SELECT removed, f1 FROM {_values([('none', 1.0), ('fraction', 0.8), ('percent', 1.0)], 'removed, f1')}")
+def rule_ablation(spark, sf):
+    gold = _rows(spark, _GOLD_TOKENS, "id string, text string, tokens array<string>")
+    return experiments.rule_ablation(gold).filter("removed in ('none', 'fraction', 'percent')").select("removed", "f1")
+
+
+@query(f"SELECT rule, found, whole, share FROM {_values([('fraction', 1, 0, 0.0), ('datetime', 1, 1, 1.0)], 'rule, found, whole, share')}")
+def kept_whole(spark, sf):
+    d = _rows(spark, [("a", "on 2026-09-01 it was (3/4)")], "id string, text string")
+    return experiments.kept_whole(d, ["fraction", "datetime"], K.whitespace(F.col("text")))
+
+
+@query(_BIGRAMS + f", j AS (SELECT ngram, (length(ngram) % 2)::BIGINT AS meaningful FROM c WHERE n >= 3), k AS (SELECT ngram FROM c WHERE {_EDGES} ORDER BY n DESC, ngram LIMIT 50) SELECT count(*) AS judged, round(coalesce(avg(meaningful), 0.0), 4) AS meaningful_share FROM k JOIN j USING (ngram)")
+def meaningful_share(spark, sf):
+    g = ngrams.ngrams(_streams(spark, sf), 2)
+    judged = g.filter(F.col("count") >= 3).select(F.array_join("gram", " ").alias("ngram")).withColumn("meaningful", F.length("ngram") % 2)
+    return experiments.meaningful_share(ngrams.top(ngrams.clean_edges(g, N.stopwords("nltk")), 50).select("ngram"), judged)
+
+
+@query("WITH x AS (SELECT source, quality, toxic FROM labels JOIN documents USING (doc_id)) SELECT source, round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic FROM x GROUP BY source")
+def metric_means(spark, sf):
+    x = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return experiments.metric_means(x, "source", ["quality", "toxic"])
+
+
+@query()
+def pipeline_comparison(spark, sf):
+    """Named pipelines over the same queries, judged by labels of good quality."""
+    d = docs(spark, sf)
+    qrels = table(spark, sf, "labels").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("qid"), "doc_id", F.col("quality").alias("relevant"))
+    return experiments.compare(d, ["A", "C1"], [(0, "licensed under"), (1, "rights AND NOT idiot")], qrels)
+
+
 # ------------------------------------------------------------------ records to text
 _WHO = "CASE WHEN role = 'assistant' THEN 'Teacher' WHEN role = 'user' THEN 'Student' ELSE role END"
 

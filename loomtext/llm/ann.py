@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 DIM = 6
+#: Boxes are sent to all executors; beyond this number chunks grow instead (about 100 bytes a box).
+MOST_BOXES = 1 << 16
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -83,7 +85,7 @@ class Projection:
 class KdTree:
     """Leaves of at most ``leaf`` points with their boxes; neighbours come leaf by leaf in the order of the boxes' distance."""
 
-    def __init__(self, p: np.ndarray, leaf: int = 64):
+    def __init__(self, p: np.ndarray, leaf: int = 128):
         self.p, self.leaves = p, []
         todo = [np.arange(len(p))]
         while todo:
@@ -94,9 +96,13 @@ class KdTree:
                 continue
             order = who[np.argsort(p[who, int(np.argmax(spread))], kind="stable")]
             todo += [order[: len(who) // 2], order[len(who) // 2 :]]
+        self.flat = np.concatenate(self.leaves)
         self.low = np.array([p[w].min(axis=0) for w in self.leaves])
         self.high = np.array([p[w].max(axis=0) for w in self.leaves])
 
+    def points(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.leaves[i] for i in leaves]) if len(leaves) < len(self.leaves) else self.flat
+
 
 def _box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     gap = np.maximum(np.maximum(low - q, q - high), 0)
@@ -109,25 +115,24 @@ def search(ids, x, p, qids, qx, qp, bounds, k: int, longest: float, quantile: fl
     for qid, q, pq, bound in zip(qids, qx, qp, bounds):
         far = _box_distance(pq, tree.low, tree.high)
         length = longest**2 + float(q @ q)
-        best = np.zeros(0, np.int64)
-        best_s = np.zeros(0)
-        reach = bound
+        best, best_s, reach = np.zeros(0, np.int64), np.zeros(0), bound
         order = np.argsort(far, kind="stable")
-        done = 0
+        sorted_far, done, batch = far[order], 0, 4
         while done < len(order):
             # true squared distance of the k-th best: M^2 + |q|^2 - 2 (x, q)
             limit = quantile * max(0.0, length - 2 * reach) if reach > -np.inf else np.inf
-            if far[order[done]] > limit:
+            if sorted_far[done] > limit:
                 break
-            take = order[done : done + 4]
-            done += 4
-            who = np.concatenate([tree.leaves[i] for i in take])
+            take = order[done : min(done + batch, int(np.searchsorted(sorted_far, limit, "right")))]
+            done, batch = done + len(take), batch * 3
+            who = tree.points(take)
             gap = p[who] - pq
-            who = who[((gap * gap).sum(axis=1) <= limit) & (ids[who] != qid)]
+            who = who[(np.einsum("ij,ij->i", gap, gap) <= limit) & (ids[who] != qid)]
+            rough = x[who] @ q
+            who = who[rough >= reach - 1e-9 * (length + 1)]  # exact values only for what may count
             if not len(who):
                 continue
-            s = (x[who] * q).sum(axis=1)
-            best, best_s = np.concatenate([best, who]), np.concatenate([best_s, s])
+            best, best_s = np.concatenate([best, who]), np.concatenate([best_s, (x[who] * q).sum(axis=1)])
             if len(best) > k:
                 keep = np.lexsort((ids[best], -best_s))[:k]
                 best, best_s = best[keep], best_s[keep]
@@ -137,7 +142,7 @@ def search(ids, x, p, qids, qx, qp, bounds, k: int, longest: float, quantile: fl
     return out
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.98, cell_rows: int = 8192, chunk_rows: int = 16_384, query_rows: int = 4096, sample_rows: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.95, cell_rows: int = 8192, chunk_rows: int = 16_384, query_rows: int = 4096, sample_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows whose vec_id ``every`` divides, their k largest inner products.
 
     ``vectors`` has vec_id and embedding. Vectors that are null or zero or hold null or
@@ -157,6 +162,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.98
     if widths is None:
         return spark.range(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     width, n, longest = widths.w, widths.n, math.sqrt(widths.m)
+    chunk_rows = max(chunk_rows, n // MOST_BOXES)
     rows = rows.filter(F.size("x") == width)
     share = F.lit(min(1 << 30, (1 << 30) * sample_rows // n))
     sample = sorted(tuple(r[0]) for r in rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30)) < share).select("x").collect())
@@ -187,8 +193,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.98
     def visit(asked: DataFrame) -> DataFrame:
         """Searches each (chunk, query) with its bound; a chunk's queries go in blocks, for each of which its rows are read."""
         blocks = written(asked.groupBy("chunk").agg(F.count("*").alias("asked")).withColumn("blocks", F.expr(f"(asked + {query_rows - 1}) div {query_rows}")).select("chunk", "blocks"), "ann-blocks")
-        data = chunked.join(F.broadcast(blocks), "chunk").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        asked = asked.join(F.broadcast(blocks), "chunk").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
+        data = chunked.join(blocks, "chunk").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        asked = asked.join(blocks, "chunk").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
 
         def run(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(d) or not len(q):

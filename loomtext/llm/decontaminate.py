@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import unit_bpe
+
 #: Masks over 12 words, 7 of them compared.
 SEEDS = ("111010010111", "110110011011", "101101101101", "111111100000", "000001111111")
 _SEPARATE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -137,8 +139,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, b
         sent = docs.sparkSession.sparkContext.broadcast(SeedIndex(items, min_words))
 
         def run(batches, sent=sent):
-            for b in batches:
-                yield b.filter(pa.array([not sent.value.find(t) for t in b.column("text").to_pylist()], pa.bool_()))
+            unit_bpe.forget()
+            for whole in batches:
+                for i in range(0, whole.num_rows, 512):
+                    b = whole.slice(i, 512)
+                    yield b.filter(pa.array([not sent.value.find(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

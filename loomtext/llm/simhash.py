@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import unit_bpe
 from .common import text_bytes, written
 from .graph import components
 
@@ -43,9 +44,12 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(width: int, seed: int):
     def run(batches):
-        for b in batches:
-            fp = np.array([fingerprint(t, width, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        unit_bpe.forget()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                fp = np.array([fingerprint(t, width, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     return run
 

@@ -172,7 +172,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
 
     def run(batches):
         enc, w = unit_bpe.encoder(tokenizer_path), None
-        for b in batches:
+        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
             for number, doc_id, text in zip(b.column("number").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if w is None:
                     path = f"{folder}/shard-{uuid.uuid4().hex}.sst"  # only the shards of tasks that ended well get into the manifest

@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import unit_bpe
 from .common import bounded_sample, id_crc
 
 WINDOW, STRIDE = 32, 16
@@ -307,6 +308,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, folds: int = 5) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        unit_bpe.forget()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -322,6 +324,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        unit_bpe.forget()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)

@@ -125,3 +125,9 @@ def counter(path: str) -> UnitCounter:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
+
+
+def forget() -> None:
+    """Frees what a reused worker remembers; operators with memory of their own call it when a task begins."""
+    counter.cache_clear()
+    encoder.cache_clear()

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UNKNOWN = "unknown"
 #: Notices by which the licences are known.
 TEMPLATES = {
@@ -192,7 +194,7 @@ def _grams(words: Column) -> Column:
 
     for k in (2, 3):
         parts.append(F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), run_of(k))).otherwise(F.array().cast("array<string>")))
-    return F.transform(F.array_distinct(F.concat(*parts)), lambda g: F.xxhash64(g))
+    return F.array_distinct(F.transform(F.concat(*parts), lambda g: F.xxhash64(g)))
 
 
 def _literal(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -213,7 +215,12 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.5, similar: floa
     lines = lines.withColumn("words", F.filter(F.split(F.lower("line"), _SPLIT), lambda w: w != ""))
     # No feature is without a rare word: all other paragraphs are unknown by the bias alone.
     lines = lines.filter(F.arrays_overlap("words", F.array(*map(F.lit, model.rare)))).groupBy("doc_id", "paragraph", "line").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
-    grams = lines.select("doc_id", "paragraph", "line", "copies", F.size(F.array_distinct(_grams(F.col("words")))).alias("own"), F.explode(_grams(F.col("words"))).alias("g"))
+    templates = [(f, i, sorted(grams_of(t))) for f, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts)]
+    known = sorted({hashed(g) for _, _, gs in templates for g in gs})
+    # A paragraph goes on as its digest and those of its n-grams that a template has: long lines are not carried along.
+    grams = lines.select("doc_id", "paragraph", F.md5(F.col("line").cast("binary")).alias("line"), "copies", _grams(F.col("words")).alias("gs"))
+    grams = grams.select("doc_id", "paragraph", "line", "copies", F.size("gs").alias("own"), F.explode(F.filter("gs", lambda g: g.isin(known))).alias("g"))
+    grams = written(grams, "licence-grams")
     n = len(model.families)
     weights = _literal(docs, [{"g": hashed(g), "w": [round(float(x), 9) for x in model.weights[i]]} for g, i in sorted(model.features.items())], "g: bigint, w: array<double>")
     key = ["doc_id", "paragraph", "line", "copies", "own"]
@@ -224,9 +231,9 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.5, similar: floa
     best = best.withColumn("probability", 1 / F.col("total")).filter((F.col("k") < n) & (F.col("probability") >= least))
     named = best.select(*key, F.element_at(F.array(*map(F.lit, model.families)), F.col("k")).alias("family"), "probability")
     # Template comparison over all n-grams.
-    templates = [(f, i, sorted(grams_of(t))) for f, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts)]
     shelf = _literal(docs, [{"family": f, "template": i, "size": len(g), "gs": list(map(hashed, g))} for f, i, g in templates], "family: string, template: int, size: int, gs: array<bigint>").select("family", "template", "size", F.explode("gs").alias("g"))
-    spelled = named.withColumn("g", F.explode(_grams(F.filter(F.split(F.lower("line"), _SPLIT), lambda w: w != ""))))
+    again = F.struct(*[F.col(c) for c in ("doc_id", "paragraph", "line")])
+    spelled = named.withColumn("_k", again).join(grams.select(again.alias("_k"), "g"), "_k").drop("_k")
     shared = spelled.join(shelf, ["family", "g"]).groupBy(*key, "family", "probability", "template", "size").agg(F.count("*").alias("shared"))
     shared = shared.withColumn("similarity", F.greatest(F.col("shared") / F.col("own"), F.col("shared") / F.col("size")))
     closest = shared.groupBy(*key, "family", "probability").agg(F.max(F.struct("similarity", -F.col("template"))).alias("m"))

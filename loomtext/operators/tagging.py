@@ -7,11 +7,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tokenizers as K
+from .pipeline import Pipeline
+
 # The number shape, domain dictionary, instruction verbs and closed classes.
 NUMBER = r"^-?\d+(?:\s\d+)?/\d+$|^\d+(?:[.,]\d+)*%?$|^\d+(?:[./]\d+)*[-+×·*÷=][\d./+×·*÷=a-z-]+$"
 OPERATORS = ["x", "×", "+", "=", "÷", "*"]
@@ -144,7 +151,10 @@ def verb_object_pairs(tokens: DataFrame) -> DataFrame:
 
 
 class HmmTagger:
-    """Bigram hidden Markov model with Viterbi decoding; unseen words go by their shape and ending. A substitute for a CRF."""
+    """Bigram hidden Markov model with Viterbi decoding; unseen words go by their shape and ending. A substitute for a CRF.
+
+    Of equally good paths the one whose later tags come last in the alphabet is taken.
+    """
 
     def __init__(self, sentences: list[list[tuple[str, str]]]):
         self.step, self.emit, self.end, self.n = Counter(), Counter(), Counter(), Counter()
@@ -157,29 +167,97 @@ class HmmTagger:
                 self.n[t] += 1
                 before = t
             self.step[before, "</s>"] += 1
-        self.tags = sorted(self.n)
+        self.tags = sorted(self.n, reverse=True)
         self.words = {w for _, w in self.emit}
         self.out = Counter()
         for (a, _), c in self.step.items():
             self.out[a] += c
+        # Row 0 is for endings that were never seen, then a row for each ending and each word.
+        self._ends = {e: i + 1 for i, e in enumerate(sorted({e for _, e in self.end}))}
+        self._known = {w: i + 1 + len(self._ends) for i, w in enumerate(sorted(self.words))}
+        seen = [[0.0] * len(self.tags), *([0.1 * self.end[t, e] for t in self.tags] for e in self._ends), *([self.emit[t, w] for t in self.tags] for w in self._known)]
+        self._scores = np.array([[log((x + 1e-3) / (self.n[t] + 1)) for t, x in zip(self.tags, row)] for row in seen])
+        self._first, *steps = ([log((self.step[p, t] + 0.1) / (self.out[p] + 1)) for t in self.tags] for p in ("<s>", *self.tags))
+        self._steps = np.array(steps)  # from, to
 
     @staticmethod
     def _ending(w: str) -> str:
         return "0" if re.search(r"\d", w) else "A" if w[:1].isupper() else w[-2:].lower()
 
-    def _score(self, t: str, w: str) -> float:
-        from math import log
+    def _row(self, w: str) -> int:
+        return self._known.get(w.lower()) or self._ends.get(self._ending(w), 0)
+
+    def _paths(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tag numbers of sentences laid end to end, given the score row of each word; all sentences advance by a word at a time."""
+        out, order = np.zeros(len(rows), np.int64), np.argsort(-sizes, kind="stable")
+        start, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        alive = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # sentences of more than i words
+        came: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
+        v = np.zeros((len(self.tags), 0))
+        for i, n in enumerate(alive):
+            own = self._scores[rows[start[:n] + i]].T
+            if i == 0:
+                v = np.array(self._first)[:, None] + own
+                continue
+            ends.append(v[:, n:].argmax(0))  # of the sentences that end here
+            v = v[:, :n]
+            if n < 16:
+                each = v[:, None, :] + self._steps[:, :, None]
+                back = each.argmax(0).astype(np.uint8)
+                best = each.max(0)
+            else:
+                best, back = v[0] + self._steps[0][:, None], np.zeros(own.shape, np.uint8)
+                for p in range(1, len(v)):
+                    one = v[p] + self._steps[p][:, None]
+                    back[one > best] = p
+                    np.maximum(best, one, out=best)
+            came.append(back)
+            v = best + own
+        ends.append(v.argmax(0))
+        at = np.concatenate(ends[::-1])[: int(alive[0])] if len(alive) else np.zeros(0, np.int64)
+        for i in range(len(alive) - 1, -1, -1):
+            n = alive[i]
+            out[start[:n] + i] = at[:n]
+            if i:
+                at[:n] = came[i - 1][at[:n], np.arange(n)]
+        return out
 
-        seen = self.emit[t, w.lower()] if w.lower() in self.words else 0.1 * self.end[t, self._ending(w)]
-        return log((seen + 1e-3) / (self.n[t] + 1))
+    def tag_all(self, sentences: pa.ListArray, most: int = 1 << 20) -> pa.ListArray:
+        """The tags of each sentence, about ``most`` words at a time; null for null."""
+        parts, at, sizes = [], 0, pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = pa.array(self.tags or ["NN"], pa.string())
+        for k in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1) if len(sizes) else ():
+            words, own = sentences.slice(at, len(k)).flatten().dictionary_encode(), sizes[k]
+            rows = np.array([self._row(w) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            parts.append(self._paths(rows, own) if self.tags else np.zeros(len(rows), np.int64))
+            at += len(k)
+        tags = names.take(pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.concatenate((sentences.is_null().to_numpy(zero_copy_only=False), [False])))
+        return pa.ListArray.from_arrays(ends, tags)
 
     def tag(self, words: list[str]) -> list[str]:
-        from math import log
+        return self.tag_all(pa.array([words], pa.list_(pa.string())))[0].as_py()
 
-        best: dict[str, tuple[float, tuple]] = {"<s>": (0.0, ())}
-        for w in words:
-            best = {t: max((v + log((self.step[p, t] + 0.1) / (self.out[p] + 1)) + self._score(t, w), (*path, t)) for p, (v, path) in best.items()) for t in self.tags}
-        return list(max(best.values(), default=(0.0, ()))[1])
+    def column(self, words: Column) -> Column:
+        @F.arrow_udf("array<string>")
+        def run(s: pa.Array) -> pa.Array:
+            return self.tag_all(s)
+
+        return run(words)
+
+
+def tagged_sample(docs: DataFrame, p: Pipeline, max_bytes: int = 1 << 20) -> list[list[tuple[str, str]]]:
+    """Rule-tagged whole sentences of about ``max_bytes`` in all, or all of them if that is more, to train a tagger from.
+
+    Every sentence of every document has the same chance, by a hash of its place and text.
+    """
+    total, span = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, 1 << 40
+    sents = docs.select("doc_id", F.posexplode(K.split_sentences(F.col("text"), p.sentences)).alias("sent_no", "s"))
+    sents = sents.filter(F.pmod(F.xxhash64("doc_id", "sent_no", "s"), F.lit(span)) < min(span, span * max_bytes // max(1, total)))
+    toks = sents.select("doc_id", "sent_no", F.posexplode(K.tokenize(F.col("s"), p.tokenizer)).alias("tok_no", "surface"))
+    rows = rule_tags(toks).groupBy("doc_id", "sent_no").agg(F.sort_array(F.collect_list(F.struct("tok_no", "surface", "tag"))).alias("t")).orderBy("doc_id", "sent_no").collect()
+    return [[(x.surface, x.tag) for x in r.t] for r in rows]
 
 
 def word_features(tokens: DataFrame) -> DataFrame:

@@ -806,17 +806,11 @@ def verb_objects(spark, sf):
 
 @query()
 def hmm_tags(spark, sf):
-    """A sequence model trained on rule-tagged sentences of the even documents, on the tokens of all."""
-    t = tagging.rule_tags(toks(spark, sf, PLAIN)).filter("doc_id < 40")
-    s = t.groupBy("doc_id", "sent_no").agg(F.sort_array(F.collect_list(F.struct("tok_no", "surface", "tag"))).alias("t"))
-    train = [[(x.surface, x.tag) for x in r.t] for r in s.filter("doc_id % 2 = 0").orderBy("doc_id", "sent_no").limit(40).collect()]
-    model = tagging.HmmTagger(train)
-
-    @F.pandas_udf("array<string>")
-    def run(w):
-        return w.map(lambda x: model.tag(list(x)[:60]))
-
-    return s.filter("doc_id % 2 = 1 and doc_id < 6").select(F.explode(run(F.transform("t", lambda x: x["surface"]))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    """A sequence model trained on a bounded sample of rule-tagged sentences, on the tokens of all."""
+    d = docs(spark, sf)
+    model = tagging.HmmTagger(tagging.tagged_sample(d, PLAIN))
+    s = d.select(F.explode(K.split_sentences(F.col("text"), PLAIN.sentences)).alias("s"))
+    return s.select(F.explode(model.column(K.tokenize(F.col("s"), PLAIN.tokenizer))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -108,3 +108,36 @@ def test_snippet(spark):
 
     r = spark.createDataFrame([("x" * 200 + " the Right word " + "y" * 200,)], "t string").select(snippet(F.col("t"), ["right", "right word"], 5).alias("s")).first().s
     assert r.hit == "Right word" and r.before == "… the " and r.after == " yyyy…"
+
+
+def test_hmm_equals_all_paths(spark):
+    """Batches of sentences of any length against every path, and the registered query against a plain count of all tokens."""
+    import itertools
+    import random
+    from math import log
+
+    import pyarrow as pa
+
+    from loomtext.operators.tagging import HmmTagger
+
+    rng = random.Random(5)
+    vocab = ["the", "Dog", "runs", "3", "adding", "of"]
+    m = HmmTagger([[(w, rng.choice(["A", "B", "C"])) for w in rng.choices(vocab, k=rng.randint(1, 6))] for _ in range(30)])
+
+    def value(words, path):
+        return sum(log((m.step[p, t] + 0.1) / (m.out[p] + 1)) + log(((m.emit[t, w.lower()] if w.lower() in m.words else 0.1 * m.end[t, m._ending(w)]) + 1e-3) / (m.n[t] + 1)) for w, p, t in zip(words, ("<s>", *path), path))
+
+    sents = [rng.choices([*vocab, "zzz", "Xy", "7up"], k=rng.randint(0, 6)) for _ in range(60)]
+    for most in (1 << 20, 7):
+        got = m.tag_all(pa.array([*sents, None], pa.list_(pa.string())).slice(1), most).to_pylist()
+        assert got[-1] is None and [len(x) for x in got[:-1]] == [len(x) for x in sents[1:]]
+        for words, path in zip(sents[1:], got):
+            assert value(words, path) == pytest.approx(max(value(words, p) for p in itertools.product("ABC", repeat=len(words))))
+    long = ["the", "Dog"] * 500
+    assert spark.createDataFrame([(long,)], "w array<string>").select(m.column(F.col("w")).alias("t")).first().t == m.tag(long)
+
+
+def test_hmm_tags_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    n = catalog.QUERIES["hmm_tags"](spark, sf).agg(F.sum("n")).first()[0]
+    assert n == catalog.toks(spark, sf).count()

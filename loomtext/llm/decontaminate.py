@@ -2,9 +2,10 @@
 
 A seed is a fixed mask over ``SPAN`` word positions; words under a 0 are ignored, so a window
 matches in spite of substitutions there. Windows of documents and benchmark items with equal
-seed hashes are aligned, and the aligned words around the hit are compared: a match counts 1,
-a substitution -3 (identity of about 0.8), and the best run has to hold ``min_words`` matching
-words, or 0.8 of an item that is shorter.
+seed hashes are aligned, and the aligned words are compared: some window of them has to hold
+``min_words`` matching words, or 0.8 of an item that is shorter, at an identity of 0.8 or more.
+Such a window always has a run of a few matching words, whose length follows from the rule; such
+runs are looked up too, so that no window is missed for want of a seed.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
 
 
+def run_of(n: int, min_words: int) -> int:
+    """The longest run of matches that every accepted window of an item of ``n`` words holds: x substitutions leave x + 1 runs."""
+    least = min(min_words, math.ceil(0.8 * n))
+    return min(-(-m // (min(m // 4, n - m) + 1)) for m in range(least, min(n, least + 4) + 1))  # more matches hold no shorter runs
+
+
 class SeedIndex:
     """Seed hashes of benchmark items; windows are looked up by sorted search, hits verified word by word."""
 
@@ -41,11 +48,14 @@ class SeedIndex:
         span = len(SEEDS[0])
         masks = {tuple(i for i, c in enumerate(s) if c == "1") for s in SEEDS}
         self.masks = [(m, span) for m in sorted(masks)] + [(tuple(range(n)), n) for n in sorted({len(x) for _, x in self.items if len(x) < span})]
+        runs = [run_of(len(x), min_words) if len(x) >= span else 0 for _, x in self.items]
+        whole = len(self.masks)
+        self.masks += [(tuple(range(n)), n) for n in sorted({*runs} - {0})]
         self.tables = []
-        for mask, n in self.masks:
+        for i, (mask, n) in enumerate(self.masks):
             h, at = [], []
             for k, (_, ids) in enumerate(self.items):
-                if (len(ids) == n) if n < span else (len(ids) >= span):
+                if runs[k] == n if i >= whole else (len(ids) == n) if n < span else (len(ids) >= span):
                     where = np.arange(len(ids) - n + 1)
                     h.append(self._hash(ids, where, mask))
                     at.append(np.stack([np.full(len(where), k), where], 1))
@@ -86,12 +96,17 @@ class SeedIndex:
             item_id, item = self.items[k]
             a, b = max(0, shift), min(len(ids), shift + len(item))
             same = ids[a:b] == item[a - shift : b - shift]
-            score = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
-            low = np.minimum.accumulate(score)
-            end = int(np.argmax(score - low))
-            start = int(np.argmin(score[: end + 1]))
-            matched = int(same[start:end].sum())
-            if matched >= min(self.min_words, math.ceil(0.8 * len(item))) and matched > best.get(item_id, (0, 0, 0))[2]:
+            least = max(min(self.min_words, math.ceil(0.8 * len(item))), best.get(item_id, (0, 0, 0))[2] + 1)
+            if np.count_nonzero(same) < least:
+                continue
+            # At 1 for a match and -4 for a substitution, windows of an identity of 0.8 are those that sum to 0 or more.
+            score, hits_to = (np.concatenate(([0], np.cumsum(x))) for x in (np.where(same, 1, -4), same))
+            starts = np.searchsorted(-np.minimum.accumulate(score), -score, "left")  # the earliest for each end has the most matches
+            end = int(np.argmax(hits_to - hits_to[starts]))
+            start = int(starts[end])
+            matched = int(hits_to[end] - hits_to[start])
+            if matched >= least:
+                start += int(np.argmax(same[start:end]))
                 best[item_id] = (a + start, end - start, matched, matched / len(item))
         return [(i, *x) for i, x in sorted(best.items())]
 

@@ -136,6 +136,21 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated_documents(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_scattered_substitutions():
+    """Whole copies at an identity of 0.8 are found wherever the substitutions are; below it they are not."""
+    rng = random.Random(4)
+    for n in range(12, 33):
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.SeedIndex([(1, " ".join(item))])
+        for _ in range(40):
+            lost = set(rng.sample(range(n), n // 5))
+            text = ["a", "b", *("zz" if i in lost else w for i, w in enumerate(item)), "c"]
+            kept = [i for i in range(n) if i not in lost]
+            assert [x[3] for x in index.find(" ".join(text))] == [len(kept)]
+        assert not index.find(" ".join("zz" if i % 3 == 2 else w for i, w in enumerate(item)))
+    assert decontaminate.SeedIndex([(1, " ".join(f"w{i}" for i in range(16)))]).find(" ".join("zz" if i in (6, 10, 13) else f"w{i}" for i in range(16))) == [(1, 0, 16, 13, 13 / 16)]
+
+
 # ---- mixing
 def edf(weights):
     q, had, out = sum(weights), [0] * len(weights), []

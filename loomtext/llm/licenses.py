@@ -117,18 +117,30 @@ def _variations(line: str, rng, n: int = 12) -> list[str]:
     return out
 
 
-def train(ordinary: list[str], seed: int = 3, steps: int = 400) -> LicenceModel:
-    """From the templates' variations against ordinary lines of the corpus; further variations set the temperature."""
+def template_grams() -> set[str]:
+    return set().union(*(grams_of(t) for ts in TEMPLATES.values() for t in ts))
+
+
+def train(ordinary: list[str], common: dict[str, int] | None = None, n_lines: int = 0, seed: int = 3, steps: int = 400) -> LicenceModel:
+    """From the templates' variations against ordinary lines of the corpus; further variations set the temperature.
+
+    common has the number of ordinary lines with a word, of ``n_lines`` in all; without it the given lines are counted.
+    """
     rng = np.random.default_rng(seed)
-    of_templates = set().union(*(grams_of(t) for ts in TEMPLATES.values() for t in ts))
+    of_templates = template_grams()
+    ordinary = list({tuple(w for w in words_of(x) if not w.isdigit()): x for x in ordinary}.values())  # a line that repeats counts once
     lines = [x for x in ordinary if (g := [y for y in grams_of(x) if y.count(" ") == 2]) and sum(y in of_templates for y in g) < 0.5 * len(g)]  # licence lines of the corpus are not ordinary
-    common: dict[str, int] = {}
-    for x in lines:
-        for w in set(words_of(x)):
-            common[w] = common.get(w, 0) + 1
-    few = max(3, 0.002 * len(lines))
-    rare = sorted({w for g in of_templates for w in g.split() if common.get(w, 0) <= few and not w.isdigit() and len(w) > 1})
-    known = set(rare)
+    if common is None:
+        common, n_lines = {}, len(lines)
+        for x in lines:
+            for w in set(words_of(x)):
+                common[w] = common.get(w, 0) + 1
+    few = max(3, 0.002 * n_lines)
+    known = {w for g in of_templates for w in g.split() if common.get(w, 0) <= few and not w.isdigit() and len(w) > 1}
+    for t in (t for ts in TEMPLATES.values() for t in ts):  # each template keeps a feature
+        if not known & (own := {w for w in words_of(t) if not w.isdigit() and len(w) > 1}):
+            known.add(min(own, key=lambda w: (common.get(w, 0), w)))
+    rare = sorted(known)
     features = {g: i for i, g in enumerate(sorted(g for g in of_templates if known & set(g.split())))}
     families = [*sorted(TEMPLATES), UNKNOWN]
 
@@ -176,12 +188,39 @@ def train(ordinary: list[str], seed: int = 3, steps: int = 400) -> LicenceModel:
 
 
 def fit(docs: DataFrame, sample_docs: int = 300, max_bytes: int = 20_000) -> LicenceModel:
-    """Trains with the lines of about ``sample_docs`` documents, none over ``max_bytes``, as ordinary text; both bounds touch training only."""
+    """Trains with the lines of about ``sample_docs`` documents, none over ``max_bytes``, as ordinary text; both bounds touch the weights only.
+
+    Which words are rare is counted over the lines of all documents.
+    """
     some = docs.select("doc_id", "text").filter((F.octet_length("text") <= max_bytes) & F.col("doc_id").isNotNull())
     n = max(1, some.count())
     span = 1 << 30
     rows = some.filter(F.pmod(F.xxhash64("doc_id", F.lit("licences")), F.lit(span)) < min(span, span * sample_docs // n)).collect()
-    return train([line for r in sorted(rows) for line in r[1].split("\n") if line.strip()])
+    return train([line for r in sorted(rows) for line in r[1].split("\n") if line.strip()], *line_counts(docs))
+
+
+def line_counts(docs: DataFrame) -> tuple[dict[str, int], int]:
+    """Ordinary lines of all documents that hold each word of the templates, and all of them.
+
+    Lines that differ in numbers only count once, so that a notice below every page of a source
+    is one line; the counts of distinct lines are approximate (5 %), in one pass that keeps a
+    sketch for each word of a fixed list. As in training, lines are left out that have no three
+    words or half of whose trigrams are a template's.
+    """
+    grams = template_grams()
+    vocabulary = sorted({w for g in grams for w in g.split()})
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.filter(F.split(F.lower("line"), _SPLIT), lambda w: w != "").alias("words"))
+    lines = lines.select(F.explode(F.array("words")).alias("words")).filter(F.size("words") >= 3)  # keeps the split out of the lambdas below
+    lines = lines.withColumn("own", F.filter("words", lambda w: w.isin(vocabulary)))
+    trigrams = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.concat_ws(" ", F.slice("words", i, 3)))
+    licence = F.size(F.filter(F.array_distinct(trigrams), lambda g: g.isin(sorted(g for g in grams if g.count(" ") == 2)))) >= 0.5 * F.size(F.array_distinct(trigrams))
+    # Trigrams of templates hold their words only: most lines have too few of these.
+    lines = lines.filter(~F.when(3 * F.size("own") >= F.size("words"), licence).otherwise(F.lit(False)))
+    digest = F.xxhash64(F.filter("words", lambda w: ~w.rlike("^[0-9]+$")))
+    lines = lines.select(F.explode(F.array(F.struct(digest.alias("h"), F.array_distinct("own").alias("own")))).alias("x"))  # once a line, not once a word
+    lines = lines.select(F.col("x.h").alias("h"), F.explode(F.concat(F.array(F.lit("")), "x.own")).alias("w"))
+    counts = {r[0]: r[1] for r in lines.groupBy("w").agg(F.approx_count_distinct("h")).collect()}
+    return counts, counts.pop("", 0)
 
 
 def _grams(words: Column) -> Column:

@@ -453,3 +453,17 @@ def test_licences(spark, none):
     assert licenses.scan(none, licenses.fit(none)).count() == 0
     plan = licenses.scan(d, model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_licences_of_a_hot_source(spark):
+    """A notice below every third document does not make its own words ordinary."""
+    rng = random.Random(12)
+    rows = [(i, "\n".join(words(rng, 12) for _ in range(3)) + (f"\nCopyright {1990 + i % 30} Acme News. All rights reserved." if i % 3 == 0 else ""), "en", "s") for i in range(300)]
+    rows += [(900 + i, f"{words(rng, 9)}\nAll rights reserved.", "en", "t") for i in range(5)]
+    d = docs_of(spark, rows)
+    model = licenses.fit(d)
+    assert {"rights", "reserved", "copyright"} <= set(model.rare)
+    assert {r.doc_id for r in licenses.scan(d, model).collect() if r.family == "proprietary"} >= {900 + i for i in range(5)}
+    common = dict.fromkeys({w for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.words_of(t)}, 1000)
+    features = licenses.train(["a line of ordinary words"], common, 1000).features
+    assert all(licenses.grams_of(t) & set(features) for ts in licenses.TEMPLATES.values() for t in ts)

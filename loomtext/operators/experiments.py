@@ -27,7 +27,7 @@ def metric_means(scores: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     return scores.groupBy(by).agg(*[F.round(F.avg(m), 4).alias(m) for m in metrics])
 
 
-def compare(docs: DataFrame, names: list[str], queries: list[tuple[str, str]], qrels: DataFrame, limit: int = 1000) -> DataFrame:
+def compare(docs: DataFrame, names: list[str], queries: list[tuple[str, str]], qrels: DataFrame, limit: int | None = None) -> DataFrame:
     """(name, precision, recall, f1, ap, p_at_5, vocabulary, posthoc) of named pipelines over the same queries."""
     out = []
     for name in names:

@@ -188,13 +188,14 @@ class Engine:
         return ranked if limit is None else ranked.limit(limit)
 
 
-def search_many(engine: Engine, queries: list[tuple[str, str]], mode: str = "auto", limit: int = 10) -> DataFrame:
+def search_many(engine: Engine, queries: list[tuple[str, str]], mode: str = "auto", limit: int | None = 10) -> DataFrame:
     """(qid, rank, doc_id, score) for several queries in one plan."""
     from pyspark.sql import Window
 
     parts = [engine.search(q, mode).select(F.lit(i).alias("qid"), "doc_id", "score") for i, q in queries]
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def snippet(text: Column, forms: list[str], around: int = 110) -> Column:

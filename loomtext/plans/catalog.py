@@ -865,7 +865,7 @@ def pipeline_comparison(spark, sf):
     """Named pipelines over the same queries, judged by labels of good quality."""
     d = docs(spark, sf)
     qrels = table(spark, sf, "labels").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("qid"), "doc_id", F.col("quality").alias("relevant"))
-    return experiments.compare(d, ["A", "C1"], [(0, "licensed under"), (1, "rights AND NOT idiot")], qrels)
+    return experiments.compare(d, list(P.PIPELINES), [(0, "licensed under"), (1, "rights AND NOT idiot")], qrels)
 
 
 # ------------------------------------------------------------------ records to text

@@ -172,14 +172,14 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
 
     def run(batches):
         enc, w = unit_bpe.encoder(tokenizer_path), None
-        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
-            for number, doc_id, text in zip(b.column("number").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        for b in (part for x in batches for part in unit_bpe.slices(x, "text")):
+            for number, doc_id, ids in zip(b.column("number").to_pylist(), b.column("doc_id").to_pylist(), enc.encode_all(b.column("text"))):
                 if w is None:
                     path = f"{folder}/shard-{uuid.uuid4().hex}.sst"  # only the shards of tasks that ended well get into the manifest
                     where, name = fs.FileSystem.from_uri(path)
                     where.create_dir(name.rpartition("/")[0], recursive=True)
                     w, first = ShardWriter(where.open_output_stream(name)), key_of(number)
-                ids = enc.encode(text) + end
+                ids += end
                 w.add(key := key_of(number), (b"\0" * 9 if doc_id is None else b"\1" + struct.pack("<q", doc_id)) + ids, len(ids) // 4)
         if w is not None:
             w.close()

@@ -14,9 +14,13 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Code points below this bound are assigned, stable under NFC and have plain lower-case forms.
 _BOUND = 0x250
-_CAP = 600_000
+_CAP = 800_000
 
 
 def _classes() -> tuple[str, str]:
@@ -26,7 +30,8 @@ def _classes() -> tuple[str, str]:
 
 _L, _N = _classes()
 _SIMPLE = re.compile(r"[\x21-\x7e¡-įı-ɏ]+")
-_ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n |\n\n|<\|")
+#: RE2: other white space than single spaces and line breaks, special strings, a blank at either end, nothing at all.
+_ODD_SPACE = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n|<\||\A[ \n]|[ \n]\z|\A\z"
 _HARD = re.compile("[\x1c-\x1f\x85]|<\\|")
 
 
@@ -82,7 +87,11 @@ class UnitCounter:
 
 
 class UnitEncoder:
-    """Ids as little-endian unsigned 32-bit integers for a byte-level vocabulary."""
+    """Ids as little-endian unsigned 32-bit integers for a byte-level vocabulary.
+
+    The distinct units of a batch are looked up once each; their ids stand end to end in one
+    array, from which those of the texts are gathered.
+    """
 
     pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 
@@ -93,7 +102,11 @@ class UnitEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.piece = _Memory(self._piece)
-        self.unit = _Memory(self._unit)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
@@ -102,19 +115,67 @@ class UnitEncoder:
         return array.array("I", [t.id for t in self.lib.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
     def _unit(self, u: str) -> bytes:
-        """A unit after a space, or one that starts with its line break."""
+        """A unit after a space, one that starts with its line break, or (marked by a space before it) the first of a text."""
+        if u.isascii() and u.isalpha():  # one piece with its space
+            return array.array("I", [t.id for t in self.lib.model.tokenize("Ġ" + u)]).tobytes()
+        if u[:1] == " ":
+            return self.whole(u[1:])
         text = u if u[:1] == "\n" else " " + u
         if _SIMPLE.fullmatch(text, 1):
             return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
         return self.whole(text)
 
+    def _rows(self, units: list[str]) -> np.ndarray:
+        """Rows in ``start`` and ``size`` of distinct units; those that are not known are encoded."""
+        rows = np.fromiter(map(self.at.get, units, [-1] * len(units)), np.int64, len(units))
+        new = [units[i] for i in np.flatnonzero(rows < 0)]
+        if new:
+            found = list(map(self._unit, new))
+            first, sizes = len(self.at), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            self.at.update(zip(new, range(first, first + len(new))))
+            total = self.used + int(sizes.sum())
+            while len(self.start) < first + len(new):
+                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            if len(self.ids) < total:
+                self.ids = np.concatenate([self.ids, np.zeros(max(total - len(self.ids), len(self.ids)), np.uint32)])
+            self.size[first : first + len(new)] = sizes
+            self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.ids[self.used : total] = np.frombuffer(b"".join(found), "<u4")
+            self.used = total
+            rows[rows < 0] = np.arange(first, first + len(new))
+        return rows
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of an array without nulls."""
+        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole(texts[i].as_py())
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        if len(self.at) > _CAP:
+            self._forget()
+        lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
+        ends, units = lists.offsets.to_numpy(), lists.values
+        units = units.dictionary_encode()
+        rows = self._rows(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        first = ends[:-1] - ends[0]
+        firsts = lists.values.take(pa.array(ends[:-1])).dictionary_encode()
+        rows[first] = self._rows([" " + u for u in firsts.dictionary.to_pylist()])[firsts.indices.to_numpy()]
+        sizes = self.size[rows]
+        stops = np.cumsum(sizes)
+        kind = np.int32 if max(self.used, stops[-1]) < 1 << 31 else np.int64
+        at = np.repeat((self.start[rows] - (stops - sizes)).astype(kind), sizes)
+        at += np.arange(stops[-1], dtype=kind)
+        ids = self.ids[at]
+        cuts = np.concatenate((stops[first] - sizes[first], stops[-1:])).tolist()
+        for k, i in enumerate(plain.tolist()):
+            out[i] = ids[cuts[k] : cuts[k + 1]].tobytes()
+        return out
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text) or text[0] in " \n" or text[-1] in " \n":
-            return self.whole(text)
-        first, *units = text.replace("\n", " \n").split(" ")
-        return self.whole(first) + b"".join(map(self.unit.__getitem__, units))
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 @lru_cache(maxsize=4)
@@ -127,6 +188,17 @@ def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int = 8192, size: int = 8 << 20):
+    """Parts of a batch of about ``size`` bytes of a text or binary column, which bounds what is held of it."""
+    used = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = used[at - 1] if at else 0
+        n = min(rows, max(1, int(np.searchsorted(used, before + size, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def forget() -> None:
     """Frees what a reused worker remembers; operators with memory of their own call it when a task begins."""
     counter.cache_clear()

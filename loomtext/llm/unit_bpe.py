@@ -111,36 +111,45 @@ class UnitEncoder:
     def whole(self, text: str) -> bytes:
         return array.array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, p: str) -> bytes:
-        return array.array("I", [t.id for t in self.lib.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
-
-    def _unit(self, u: str) -> bytes:
-        """A unit after a space, one that starts with its line break, or (marked by a space before it) the first of a text."""
-        if u.isascii() and u.isalpha():  # one piece with its space
-            return array.array("I", [t.id for t in self.lib.model.tokenize("Ġ" + u)]).tobytes()
-        if u[:1] == " ":
-            return self.whole(u[1:])
-        text = u if u[:1] == "\n" else " " + u
-        if _SIMPLE.fullmatch(text, 1):
-            return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
-        return self.whole(text)
+    def _piece(self, p: str) -> tuple[int, ...]:
+        return tuple(t.id for t in self.lib.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS)))
+
+    def _units(self, units: list[str]) -> tuple[list[int], list[int]]:
+        """Ids, and where they end, of units after a space, that start with their line break, or (marked by a space before them) come first in a text."""
+        ids, ends, tokenize = [], [], self.lib.model.tokenize
+        for u in units:
+            core = u.rstrip(".,;:!?")
+            if core.isalpha() and (core.isascii() or _SIMPLE.fullmatch(core)):  # one piece with its space, then one of marks
+                ids += [t.id for t in tokenize("Ġ" + (core if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)))]
+                if len(core) < len(u):
+                    ids += self.piece[u[len(core) :]]
+            elif u[:1] == " ":
+                ids += self.lib.encode(u[1:], add_special_tokens=False).ids
+            else:
+                text = u if u[:1] == "\n" else " " + u
+                if _SIMPLE.fullmatch(text, 1):
+                    for p in self.pieces.findall(text):
+                        ids += self.piece[p]
+                else:
+                    ids += self.lib.encode(text, add_special_tokens=False).ids
+            ends.append(len(ids))
+        return ids, ends
 
     def _rows(self, units: list[str]) -> np.ndarray:
         """Rows in ``start`` and ``size`` of distinct units; those that are not known are encoded."""
         rows = np.fromiter(map(self.at.get, units, [-1] * len(units)), np.int64, len(units))
         new = [units[i] for i in np.flatnonzero(rows < 0)]
         if new:
-            found = list(map(self._unit, new))
-            first, sizes = len(self.at), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            ids, ends = self._units(new)
+            first, total, ends = len(self.at), self.used + len(ids), np.array(ends, np.int64)
             self.at.update(zip(new, range(first, first + len(new))))
-            total = self.used + int(sizes.sum())
             while len(self.start) < first + len(new):
                 self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
             if len(self.ids) < total:
                 self.ids = np.concatenate([self.ids, np.zeros(max(total - len(self.ids), len(self.ids)), np.uint32)])
-            self.size[first : first + len(new)] = sizes
-            self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : total] = np.frombuffer(b"".join(found), "<u4")
+            starts = np.concatenate(([0], ends[:-1]))
+            self.start[first : first + len(new)], self.size[first : first + len(new)] = self.used + starts, ends - starts
+            self.ids[self.used : total] = ids
             self.used = total
             rows[rows < 0] = np.arange(first, first + len(new))
         return rows

@@ -49,7 +49,7 @@ def _fingerprints(width: int, seed: int):
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
                 fp = np.array([fingerprint(t, width, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*b.schema.names[:-1], "fp"])
 
     return run
 
@@ -161,31 +161,46 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return links
 
 
+def _groups(first: DataFrame, radius: int) -> DataFrame:
+    """(of, best): for each fingerprint of (fp, first) the least ``first`` of those that it is linked to, directly or not.
+
+    Links and components are of fingerprints, so that rows with the same id stay apart.
+    """
+    roots = components(near_links(first.select("fp"), radius))
+    of = written(first.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "first", F.coalesce("root", "fp").alias("component")), "fingerprint-groups")
+    least = written(of.groupBy("component").agg(F.min("first").alias("best")), "fingerprint-least")
+    return written(of.join(least, "component").select(F.col("fp").alias("of"), "best"), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row.
 
     A null or blank text has fingerprint zero and is linked like any other. A row without
     doc_id has a fingerprint, but no links and a null component. Repeated rows are in one
-    component. An empty table gives an empty result; other columns are ignored.
+    component; rows that share a doc_id only are linked by their texts alone. An empty table
+    gives an empty result; other columns are ignored.
     """
     each = written(fingerprints(docs, width, seed), "fingerprints")
     first = written(each.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    links = near_links(first.select("fp"), radius)
-    ids = first.select("fp", "first")
-    linked = links.join(ids, links.a == ids.fp).select("b", F.col("first").alias("x"))
-    linked = linked.join(ids, linked.b == ids.fp).select(F.col("x").alias("a"), F.col("first").alias("b"))
-    roots = components(linked)
-    of = written(first.join(roots, F.col("first") == F.col("v"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "first").alias("component")), "fingerprint-components")
-    return each.join(of, F.col("fp") == F.col("of"), "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
+    return each.join(_groups(first, radius), F.col("fp") == F.col("of"), "left").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("best")).alias("component_id")
     )
 
 
-def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the smallest doc_id stays; rows without doc_id stay."""
-    found = near_duplicates(docs, radius).filter("doc_id is not null")
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
-    return kept
+def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicates in ``docs``: that of the smallest doc_id; rows without doc_id stay.
+
+    Rows are told apart by doc_id and a hash of all their columns. Of rows that share an id,
+    those that are near-duplicates leave one (that of the least hash), the others all stay.
+    Rows repeated whole leave one. Null and blank texts are near-duplicates of each other. An
+    empty table gives an empty result; all columns are returned.
+    """
+    tagged = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    each = tagged.filter("doc_id is not null").select("doc_id", "__row", text_bytes().alias("text"))
+    each = written(each.mapInArrow(_fingerprints(width, seed), "doc_id long, __row long, fp long"), "keep-rows")
+    first = written(each.groupBy("fp").agg(F.min(F.struct("doc_id", "__row")).alias("first")), "keep-first")
+    rest = each.join(_groups(first, radius), F.col("fp") == F.col("of")).filter((F.col("doc_id") != F.col("best.doc_id")) | (F.col("__row") != F.col("best.__row")))
+    gone = written(rest.select("doc_id", "__row").distinct(), "near-copies")
+    if each.groupBy("doc_id", "__row").count().filter("count > 1").limit(1).count():  # rows repeated whole
+        tagged = tagged.filter("doc_id is not null").dropDuplicates(["doc_id", "__row"]).union(tagged.filter("doc_id is null"))
+    return tagged.join(gone, ["doc_id", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -378,6 +378,19 @@ def test_near_duplicates(spark, docs, rows, none, monkeypatch, group):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_first_of_clashing_ids(spark):
+    """Unrelated rows that share a doc_id all stay; near-duplicates leave one, whatever their ids."""
+    rng = random.Random(18)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, c, "en", "s"), (3, a, "en", "s"), (3, a, "en", "t"), (2, c, "en", "s"), (None, a, "en", "s"), (None, a, "en", "s"), (4, None, "en", "s"), (5, " ", "en", "s")]
+    d = docs_of(spark, rows)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_first(d).collect())
+    assert kept == sorted([(1, a), (1, b), (2, c), (0, a), (0, a), (4, "")])
+    assert simhash.keep_first(d).columns == d.columns
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(d).collect()}
+    assert got[1, f"{reference_fingerprint(a):016x}"] == 1 and got[1, f"{reference_fingerprint(b):016x}"] == 1 and got[2, f"{reference_fingerprint(c):016x}"] == 2 and got[3, f"{reference_fingerprint(a):016x}"] == 1
+
+
 def test_components_of_a_chain(spark):
     n = 200
     e = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")

@@ -38,13 +38,22 @@ def target_weights(counts: DataFrame, weights: dict[str, int] | None = None, sca
     return counts.select("src", rule.alias("n"))
 
 
-def period(weights: DataFrame) -> DataFrame:
-    """(src, n, q, j, slot): the slot of each source's j-th block in one period, earliest deadline first."""
-    whole = weights.agg(F.sort_array(F.collect_list(F.struct("src", "n"))).alias("w")).select("w", F.expr("transform(w, x -> x.n)").alias("n"), F.expr("aggregate(w, 0L, (a, x) -> a + x.n)").alias("q"))
-    first = "array_min(transform(n, (w, i) -> if(a.had[i] * q div w <= t, named_struct('d', ((a.had[i] + 1) * q + w - 1) div w, 'i', i), null))).i"
-    step = f"element_at(transform(array({first}), k -> named_struct('had', transform(a.had, (v, i) -> if(i = k, v + 1, v)), 'took', concat(a.took, array(k)))), 1)"
-    took = f"aggregate(sequence(0L, q - 1), named_struct('had', transform(n, x -> 0L), 'took', cast(array() as array<int>)), (a, t) -> {step}).took"
-    slots = whole.filter("q > 0").select("w", "q", F.posexplode(F.expr(took)).alias("slot", "i")).select(F.expr("w[i].src").alias("src"), F.expr("w[i].n").alias("n"), "q", F.col("slot").cast("long").alias("slot"))
+def period(weights: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(src, n, q, j, slot): the slot of each source's j-th block in one period, earliest deadline first.
+
+    The state of the fold is each source's next block (deadline, source, release, number), so a
+    slot costs one look at each source; the slots taken are gathered by chunks.
+    """
+    whole = weights.agg(F.sort_array(F.collect_list(F.struct("src", "n"))).alias("w")).select("w", F.expr("aggregate(w, 0L, (a, x) -> a + x.n)").alias("q")).filter("q > 0")
+    state = "struct<d: bigint, i: int, r: bigint, j: bigint>"
+    block = "named_struct('d', (({j} + 1) * q + w[{i}].n - 1) div w[{i}].n, 'i', {i}, 'r', {j} * q div w[{i}].n, 'j', {j})"
+    start = f"transform(w, (x, i) -> {block.format(i='i', j='0L')})"
+    after = f"transform(a.at, x -> if(x.i = k, {block.format(i='x.i', j='(x.j + 1)')}, x))"
+    slot = f"element_at(transform(array(array_min(filter(a.at, x -> x.r <= t)).i), k -> named_struct('at', {after}, 'took', concat(a.took, array(k)))), 1)"
+    inner = f"aggregate(sequence(c, least(c + {chunk - 1}, q - 1)), named_struct('at', s.at, 'took', cast(array() as array<int>)), (a, t) -> {slot})"
+    outer = f"element_at(transform(array({inner}), o -> named_struct('at', o.at, 'took', concat(s.took, array(o.took)))), 1)"
+    took = f"flatten(aggregate(sequence(0L, q - 1, {chunk}L), named_struct('at', cast({start} as array<{state}>), 'took', cast(array() as array<array<int>>)), (s, c) -> {outer}).took)"
+    slots = whole.select("w", "q", F.posexplode(F.expr(took)).alias("slot", "i")).select(F.expr("w[i].src").alias("src"), F.expr("w[i].n").alias("n"), "q", F.col("slot").cast("long").alias("slot"))
     return slots.withColumn("j", F.row_number().over(Window.partitionBy("src").orderBy("slot")).cast("long") - 1)
 
 
@@ -55,21 +64,33 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, block_rows:
     of its target; its later slots stay empty, so the others keep their proportions, and every
     row is placed. Position is the row's place in the whole order, from 0 and without gaps.
     A null source is a source of its own. A null doc_id is taken as 0, rows with the same doc_id
-    are ordered by ``tie`` (a hash of the text). An empty table gives an empty result.
+    are ordered by ``tie`` (a hash of the text); an id that more than ``bucket_rows`` rows share
+    is split by it, and what is equal then by the order in which it was read. An empty table
+    gives an empty result.
 
     Ranks in a source come from buckets of the scattered ids (about ``bucket_rows`` rows each,
     at any size of a source), totals of the buckets before, and the rank inside.
     """
-    light = written(docs.select("doc_id", "source", _source().alias("src"), shuffled(F.col("doc_id")).alias("mix"), (F.xxhash64("text") if tie is None else tie).alias("tie")), "mix-rows")
+    light = written(docs.select("doc_id", "source", _source().alias("src"), shuffled(F.col("doc_id")).alias("mix"), (F.xxhash64("text") if tie is None else tie).alias("tie"), F.monotonically_increasing_id().alias("read")), "mix-rows")
     n_rows = light.count()
     buckets = max(1, n_rows // bucket_rows)
-    rows = light.withColumn("bucket", F.shiftright(F.col("mix") * F.lit(buckets), 32))
-    sizes = written(rows.groupBy("src", "bucket").agg(F.count("*").alias("rows")), "mix-buckets")
-    before = sizes.withColumn("before", F.sum("rows").over(Window.partitionBy("src").orderBy("bucket")) - F.col("rows")).drop("rows")
+    rows = light.withColumn("bucket", F.shiftright(F.col("mix") * F.lit(buckets), 32)).withColumns({"hot": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
+    sizes = written(rows.groupBy("src", "bucket", "hot", "part").agg(F.count("*").alias("rows")), "mix-buckets")
+    full = sizes.filter(F.col("rows") > 8 * bucket_rows)
+    if full.limit(1).count():  # ids that many rows share
+        common = rows.join(full.select("src", "bucket"), ["src", "bucket"], "left_semi").groupBy("src", "mix").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
+        rows = rows.join(written(common.select("src", "mix", F.lit(True).alias("split")), "mix-common"), ["src", "mix"], "left")
+        rows = rows.withColumns({"hot": F.when(F.col("split"), F.col("mix")).otherwise(F.lit(-1)), "part": F.when(F.col("split"), F.shiftright("tie", 54) * 1024 + F.pmod("read", F.lit(1024))).otherwise(0)}).drop("split")
+        # In a bucket the rows that are not split come first.
+        sizes = written(rows.groupBy("src", "bucket", "hot", "part").agg(F.count("*").alias("rows")), "mix-buckets")
+    total = sizes.groupBy("src", "bucket").agg(F.sum("rows").alias("all"))
+    of_bucket = total.withColumn("first", F.sum("all").over(Window.partitionBy("src").orderBy("bucket")) - F.col("all")).drop("all")
+    inner = F.sum("rows").over(Window.partitionBy("src", "bucket").orderBy("hot", "part")) - F.col("rows")
+    before = sizes.withColumn("inner", inner).join(of_bucket, ["src", "bucket"]).select("src", "bucket", "hot", "part", (F.col("first") + F.col("inner")).alias("before"))
     plan = written(period(target_weights(sizes.groupBy("src").agg(F.sum("rows").alias("rows")), weights)), "mix-period")
     of = plan.select("src", "n", "q").distinct()
-    inside = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("mix", F.col("doc_id"), "tie")) - 1
-    ranked = rows.withColumn("inside", inside).join(written(before.join(of, "src"), "mix-before"), ["src", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
+    inside = F.row_number().over(Window.partitionBy("src", "bucket", "hot", "part").orderBy("mix", F.col("doc_id"), "tie", "read")) - 1
+    ranked = rows.withColumn("inside", inside).join(written(before.join(of, "src"), "mix-before"), ["src", "bucket", "hot", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
     block = ranked.withColumn("block", F.expr(f"rank div {block_rows}")).withColumn("j", F.expr("block % n"))
     placed = block.join(plan.select("src", "j", F.col("slot").alias("at")), ["src", "j"]).select(
         "doc_id", "source", "tie", "rank", "block",

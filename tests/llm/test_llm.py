@@ -221,6 +221,23 @@ def test_period_is_fair(spark):
         assert all(abs(had[s] - (r.slot + 1) * n / 16) < 1 for s, n in weights.items())
 
 
+def test_period_of_many_sources_and_fine_weights(spark):
+    rng = random.Random(16)
+    for weights in ([rng.randint(1, 9) for _ in range(300)], [60_001, 39_998, 1]):
+        w = spark.createDataFrame([(f"={i:04d}", n) for i, n in enumerate(weights)], "src string, n long")
+        got = [int(r.src[1:]) for r in mixing.period(w).orderBy("slot").collect()]
+        assert got == edf(weights)
+
+
+def test_schedule_of_a_shared_id(spark):
+    """A third of the rows have one doc_id, another third none; many are equal as a whole."""
+    d = docs_of(spark, [(i, "x", "en", "s0") for i in range(100)] + [(7, f"t{i % 9}", "en", "s0") for i in range(100)] + [(None, "y", "en", "s1") for _ in range(100)])
+    got = mixing.schedule(d, bucket_rows=4, block_rows=4).collect()
+    assert sorted(r.position for r in got) == list(range(300)) and all(r.release <= r.slot < r.deadline for r in got)
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in d.collect())
+    assert mixing.mixed(d, block_rows=4).count() == 300
+
+
 def test_schedule(spark, docs, rows, none):
     for buckets in (4096, 5):
         got = mixing.schedule(docs, {"s0": 3, "s1": 2, "s2": 1}, block_rows=4, bucket_rows=buckets).orderBy("position").collect()

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 DIM = 6
-#: Boxes are sent to all executors; beyond this number chunks grow instead (about 100 bytes a box).
+#: Boxes are sent to all executors; beyond this number chunks grow instead (about 100 bytes a box). That is at 10^9 rows
+#: of the default chunk size; at 10^10 a chunk has 152,000 rows, 80 MB at 64 components.
 MOST_BOXES = 1 << 16
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -109,6 +110,38 @@ def _box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return (gap * gap).sum(axis=-1)
 
 
+class BoxTree:
+    """Boxes in the order of their cells under boxes of ``fan`` neighbours each, level by level; a query descends into what is near enough."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, fan: int = 16):
+        self.fan, self.levels = fan, [(low, high)]
+        while len(low) > fan:
+            cuts = np.arange(0, len(low), fan)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            self.levels.insert(0, (low, high))
+
+    def within(self, q: np.ndarray, limit: float) -> np.ndarray:
+        """Numbers of the boxes at a squared distance of ``limit`` or less."""
+        at = np.arange(len(self.levels[0][0]))
+        for depth, (low, high) in enumerate(self.levels):
+            if depth:
+                at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
+                at = at[at < len(low)]
+            at = at[_box_distance(q, low[at], high[at]) <= limit]
+        return at
+
+    def nearest(self, q: np.ndarray) -> int:
+        at = np.arange(len(self.levels[0][0]))
+        for depth, (low, high) in enumerate(self.levels):  # a box at hand, then all that are nearer
+            if depth:
+                at = np.arange(best * self.fan, min(len(low), (best + 1) * self.fan))
+            far = _box_distance(q, low[at], high[at])
+            best = int(at[np.argmin(far)])
+        near = self.within(q, float(far.min()))
+        low, high = self.levels[-1]
+        return int(near[np.argmin(_box_distance(q, low[near], high[near]))])
+
+
 def search(ids, x, p, qids, qx, qp, bounds, k: int, longest: float, quantile: float) -> list[tuple[int, int, float]]:
     """(query, vector, inner product) of each query's best k among x; bounds: inner products already reached, or -inf."""
     tree, out = KdTree(p), []
@@ -188,7 +221,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.95
     for chunk, cell, *_ in boxes:
         homes.setdefault(cell, []).append(chunk)
     queries = placed.filter("home >= 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "pq", "home")
-    box = spark.sparkContext.broadcast((np.array([b[0] for b in boxes]), np.array([b[2] for b in boxes]), np.array([b[3] for b in boxes]), homes))
+    box = spark.sparkContext.broadcast((np.array([b[0] for b in boxes]), BoxTree(np.array([b[2] for b in boxes]), np.array([b[3] for b in boxes])), homes))
 
     def visit(asked: DataFrame) -> DataFrame:
         """Searches each (chunk, query) with its bound; a chunk's queries go in blocks, for each of which its rows are read."""
@@ -206,13 +239,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.95
         return data.select("chunk", "block", "vec_id", "x", "p").groupBy("chunk", "block").cogroup(asked.select("chunk", "block", "query_id", "q", "pq", "bound").groupBy("chunk", "block")).applyInPandas(run, _FOUND)
 
     def at_home(frames):
-        chunks, low, high, own = box.value
+        chunks, tree, own = box.value
         for f in frames:
             out = []
             for home, pq in zip(f["home"], f["pq"]):
                 near = own.get(home)
                 # of a split home cell, or if it is empty, the chunk whose box is nearest
-                out.append(near[0] if near else int(chunks[np.argmin(_box_distance(np.asarray(pq), low, high))]))
+                out.append(near[0] if near else int(chunks[tree.nearest(np.asarray(pq))]))
             yield f.assign(chunk=np.array(out, np.int64), bound=-np.inf)
 
     kind = "query_id long, q array<double>, pq array<double>, home long, chunk long, bound double"
@@ -221,13 +254,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.95
     reached = got.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("reached"))
 
     def onward(frames):
-        chunks, low, high, _ = box.value
+        chunks, tree, _ = box.value
         for f in frames:
             out = []
             for i, (q, pq, chunk, reach) in enumerate(zip(f["q"], f["pq"], f["chunk"], f["reached"])):
                 limit = quantile * max(0.0, longest**2 + float(np.dot(q, q)) - 2 * reach) if reach > -np.inf else np.inf
-                go = chunks[(_box_distance(np.asarray(pq), low, high) <= limit) & (chunks != chunk)]
-                out += [(i, int(c)) for c in go]
+                out += [(i, c) for c in chunks[tree.within(np.asarray(pq), limit)].tolist() if c != chunk]
             at = np.array([o[0] for o in out], np.int64)
             g = f.iloc[at].assign(chunk=np.array([o[1] for o in out], np.int64))
             yield g.assign(bound=g["reached"])[["query_id", "q", "pq", "home", "chunk", "bound"]]

@@ -277,6 +277,19 @@ def test_nearest(spark, sizes):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_box_tree():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 16, 17, 300):
+        low = rng.normal(size=(n, ann.DIM))
+        high = low + rng.random((n, ann.DIM))
+        tree = ann.BoxTree(low, high, fan=4)
+        for q in rng.normal(size=(30, ann.DIM)):
+            far = ann._box_distance(q, low, high)
+            limit = float(np.quantile(far, rng.random()))
+            assert sorted(tree.within(q, limit).tolist()) == np.flatnonzero(far <= limit).tolist()
+            assert far[tree.nearest(q)] == far.min()
+
+
 def test_nearest_of_few_and_none(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(v).orderBy("query_id", "rank").collect()] == [(0, 1, 20, 0.5), (0, 2, 3, 0.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5)]

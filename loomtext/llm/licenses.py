@@ -122,7 +122,7 @@ def template_grams() -> set[str]:
 
 
 def train(ordinary: list[str], common: dict[str, int] | None = None, n_lines: int = 0, seed: int = 3, steps: int = 400) -> LicenceModel:
-    """From the templates' variations against ordinary lines of the corpus; further variations set the temperature.
+    """From the templates' variations against ordinary lines of the corpus; those held out set the temperature and the unknown class.
 
     common has the number of ordinary lines with a word, of ``n_lines`` in all; without it the given lines are counted.
     """
@@ -147,24 +147,26 @@ def train(ordinary: list[str], common: dict[str, int] | None = None, n_lines: in
     def sparse(x: str) -> tuple:
         return tuple(sorted(features[g] for g in grams_of(x) if g in features))
 
-    def drawn(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct rows, their classes and how often each was drawn."""
+    def drawn(n: int, own: list[str], skip=frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray, set]:
+        """Distinct rows that are not in ``skip``, their classes, how often each was drawn, and the rows as a set."""
         rows: dict[tuple, float] = {}
         for k, f in enumerate(families[:-1]):
             for t in TEMPLATES[f]:
                 for v in _variations(t, rng, n):
-                    if at := sparse(v):
+                    if (at := sparse(v)) and (at, k) not in skip:
                         rows[at, k] = rows.get((at, k), 0.0) + 1 + 2 * (v == t)
-        for x in [*lines, *(s for s in _ORDINARY for _ in range(20))]:
+        for x in own:
             key = (sparse(x), len(families) - 1)
             rows[key] = rows.get(key, 0.0) + 1
         X = np.zeros((len(rows), len(features)), np.float32)
         for i, (at, _) in enumerate(rows):
             X[i, list(at)] = 1
-        return X, np.array([k for _, k in rows]), np.minimum(np.array([*rows.values()]), 200.0)
+        return X, np.array([k for _, k in rows]), np.minimum(np.array([*rows.values()]), 200.0), set(rows)
 
-    Xl, yl, wl = drawn(16)
-    X, y, weight = drawn(8)
+    # A fifth of the ordinary lines, every other of the fixed ones, and variations not learnt from are held out.
+    held = {x for x in lines if xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) % 5 == 0}
+    Xl, yl, wl, learnt = drawn(16, [x for x in lines if x not in held] + [s for s in _ORDINARY[::2] for _ in range(20)])
+    X, y, weight, _ = drawn(8, [*sorted(held), *(s for s in _ORDINARY[1::2] for _ in range(20))], learnt)
     W, b = np.zeros((len(features), len(families))), np.zeros(len(families))
     m = [np.zeros_like(W), np.zeros_like(b)]
     v = [np.zeros_like(W), np.zeros_like(b)]
@@ -179,12 +181,17 @@ def train(ordinary: list[str], common: dict[str, int] | None = None, n_lines: in
             v[i] = 0.999 * v[i] + 0.001 * g * g
             x -= 0.05 * m[i] / (1 - 0.9 ** (step + 1)) / (np.sqrt(v[i] / (1 - 0.999 ** (step + 1))) + 1e-9)
     z = X @ W + b
+    unknown = np.eye(len(families))[-1]
 
-    def loss(t):
-        q = z / t
+    def loss(at: tuple[float, float]) -> float:
+        """On what was held out, for a temperature and a shift of the unknown class."""
+        q = (z + at[1] * unknown) / at[0]
         return float((weight * (np.log(np.exp(q - q.max(1, keepdims=True)).sum(1)) + q.max(1) - q[np.arange(len(y)), y])).sum())
 
-    return LicenceModel(families, rare, features, W, b, min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss))
+    temperature, shift = min(((t, s) for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0) for s in (0.0, -2.0, -1.0, -0.5, 0.5, 1.0, 2.0)), key=loss)
+    b = b + shift * unknown
+    b[-1] = max(b[-1], b[:-1].max())  # what has no feature is unknown: on this rests that such lines are left out unread
+    return LicenceModel(families, rare, features, W, b, temperature)
 
 
 def fit(docs: DataFrame, sample_docs: int = 300, max_bytes: int = 20_000) -> LicenceModel:
@@ -258,22 +265,21 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.5, similar: floa
     known = sorted({hashed(g) for _, _, gs in templates for g in gs})
     # A paragraph goes on as its digest and those of its n-grams that a template has: long lines are not carried along.
     grams = lines.select("doc_id", "paragraph", F.md5(F.col("line").cast("binary")).alias("line"), "copies", _grams(F.col("words")).alias("gs"))
-    grams = grams.select("doc_id", "paragraph", "line", "copies", F.size("gs").alias("own"), F.explode(F.filter("gs", lambda g: g.isin(known))).alias("g"))
-    grams = written(grams, "licence-grams")
+    grams = written(grams.select("doc_id", "paragraph", "line", "copies", F.size("gs").alias("own"), F.filter("gs", lambda g: g.isin(known)).alias("gs")), "licence-grams")
     n = len(model.families)
     weights = _literal(docs, [{"g": hashed(g), "w": [round(float(x), 9) for x in model.weights[i]]} for g, i in sorted(model.features.items())], "g: bigint, w: array<double>")
     key = ["doc_id", "paragraph", "line", "copies", "own"]
-    logit = grams.join(weights, "g", "left").groupBy(*key).agg(*[(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + F.lit(float(model.bias[k]))).alias(f"z{k}") for k in range(n)])
+    each = grams.select(*key, "gs", F.explode("gs").alias("g")).join(F.broadcast(weights), "g", "left")  # a row for each feature of the templates
+    logit = each.groupBy(*key, "gs").agg(*[(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + F.lit(float(model.bias[k]))).alias(f"z{k}") for k in range(n)])
     z = F.array(*[F.col(f"z{k}") / F.lit(float(model.temperature)) for k in range(n)])
     best = logit.withColumn("z", z).withColumn("top", F.array_max("z"))
     best = best.withColumn("total", F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).withColumn("k", F.array_position("z", F.col("top")).cast("int"))
     best = best.withColumn("probability", 1 / F.col("total")).filter((F.col("k") < n) & (F.col("probability") >= least))
-    named = best.select(*key, F.element_at(F.array(*map(F.lit, model.families)), F.col("k")).alias("family"), "probability")
+    named = best.select(*key, "gs", F.element_at(F.array(*map(F.lit, model.families)), F.col("k")).alias("family"), "probability")
     # Template comparison over all n-grams.
     shelf = _literal(docs, [{"family": f, "template": i, "size": len(g), "gs": list(map(hashed, g))} for f, i, g in templates], "family: string, template: int, size: int, gs: array<bigint>").select("family", "template", "size", F.explode("gs").alias("g"))
-    again = F.struct(*[F.col(c) for c in ("doc_id", "paragraph", "line")])
-    spelled = named.withColumn("_k", again).join(grams.select(again.alias("_k"), "g"), "_k").drop("_k")
-    shared = spelled.join(shelf, ["family", "g"]).groupBy(*key, "family", "probability", "template", "size").agg(F.count("*").alias("shared"))
+    spelled = named.select(*key, "family", "probability", F.explode("gs").alias("g"))
+    shared = spelled.join(F.broadcast(shelf), ["family", "g"]).groupBy(*key, "family", "probability", "template", "size").agg(F.count("*").alias("shared"))
     shared = shared.withColumn("similarity", F.greatest(F.col("shared") / F.col("own"), F.col("shared") / F.col("size")))
     closest = shared.groupBy(*key, "family", "probability").agg(F.max(F.struct("similarity", -F.col("template"))).alias("m"))
     out = closest.select("doc_id", "paragraph", "family", "probability", (-F.col("m").getField("col2")).alias("template"), F.col("m.similarity").alias("similarity"), "copies")

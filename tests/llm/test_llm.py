@@ -540,6 +540,16 @@ def test_licences(spark, none):
     for r in got:
         line = dict((x[0], x[1]) for x in rows)[r.doc_id].split("\n")[r.paragraph]
         assert abs(model.probabilities(line).max() - r.probability) < 1e-6
+    # every paragraph that is left out, whether it was read or not, is unknown to the whole model
+    rows += [(710, "long " * 30_000 + "rights", "en", "s"), (711, "Licensed under the\nLicensed under the MIT License\nreserved", "en", "s")]
+    found = {(r.doc_id, r.paragraph, r.family): r.probability for r in licenses.scan(docs_of(spark, rows), model).collect()}
+    unknown = len(model.families) - 1
+    for doc_id, text, *_ in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            p = model.probabilities(line)
+            k = int(p.argmax())
+            assert ((doc_id, i, model.families[k]) in found) == (k != unknown and p[k] >= 0.5), line
+    assert model.bias.argmax() == unknown
     assert licenses.scan(none, licenses.fit(none)).count() == 0
     plan = licenses.scan(d, model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

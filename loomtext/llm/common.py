@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    Only where a local session names none, as in tests, a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -31,7 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more, so that the shared folder doesn't fill up."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +60,8 @@ def id_crc(c: str = "doc_id") -> Column:
     return F.crc32(F.col(c).cast("string").cast("binary"))
 
 
-def bounded_sample(df: DataFrame, by: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """About ``per_class`` rows of each value of ``by``, chosen by a hash of the key.
+def bounded_sample(df: DataFrame, by: str, per_class: int, *key: str) -> DataFrame:
+    """About ``per_class`` rows of each value of ``by``, chosen by a hash of the key (doc_id if none is given).
 
     The counts are exact and over all rows; the share kept of a class is per_class / count, so
     the sample's size is bounded by the number of classes, whatever the size of the input.
@@ -59,4 +71,4 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, key: str = "doc_id")
     share = F.lit(0)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = F.when(F.col(by) == F.lit(value), F.lit(min(span, span * per_class // n))).otherwise(share)
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(span)) < share)
+    return df.filter(F.pmod(F.xxhash64(*(key or ("doc_id",)), F.lit("sample")), F.lit(span)) < share)

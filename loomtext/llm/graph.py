@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,14 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-star")
-        e = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        e = written(e, "links")
+        star = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        star = written(star, "links")
+        discard(e, low)
+        e = star
         low = written(e.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
         e = written(e, "links")
+        discard(star, low)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     roots = e.select(F.col("u").alias("v"), F.col("v").alias("root"))
-    return written(roots.union(e.select("v", F.col("v").alias("root"))).distinct(), "roots")
+    roots = written(roots.union(e.select("v", F.col("v").alias("root"))).distinct(), "roots")
+    discard(e)
+    return roots

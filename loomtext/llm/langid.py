@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import unit_bpe
 from .common import bounded_sample, id_crc
 
 GRAMS = (2, 3, 4)
@@ -36,7 +37,7 @@ class LanguageModel:
         """Of the whole text, read in overlapping steps to bound the memory."""
         total, n = np.zeros(len(self.languages)), 0
         for i in range(0, max(1, len(text)), step):
-            at = buckets_of(text[i : i + step], self.bits)
+            at = buckets_of(text[max(0, i - max(GRAMS) + 1) : i + step], self.bits)
             total += self.table[at].sum(axis=0, dtype=np.float64)
             n += len(at)
         z = (total / n + self.bias) / self.temperature
@@ -93,13 +94,16 @@ def train(rows: list[tuple[str, str]], bits: int = 16, dim: int = 16, epochs: in
     return model
 
 
-def fit(docs: DataFrame, per_language: int = 1200, max_bytes: int = 20_000, folds: int = 3, test_fold: int = 1) -> LanguageModel | None:
-    """Trains on documents with a language outside the test fold: about ``per_language`` of each, none over ``max_bytes``.
+def fit(docs: DataFrame, per_language: int = 1200, max_chars: int = 20_000, folds: int = 3, test_fold: int = 1) -> LanguageModel | None:
+    """Trains on documents with a language outside the test fold: about ``per_language`` of each.
 
-    Both bounds keep the sample small on the driver; they touch training only.
+    Of a text of more than ``max_chars`` characters a window at a place given by its hash is
+    learnt from. Both bounds keep the sample small on the driver; they touch training only.
     """
-    known = docs.filter((F.pmod(id_crc(), F.lit(folds)) != test_fold) & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes) & (F.octet_length("text") > 0))
-    rows = bounded_sample(known.select("doc_id", "lang", "text"), "lang", per_language).select("doc_id", "text", "lang").collect()
+    known = docs.filter((F.pmod(id_crc(), F.lit(folds)) != test_fold) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    at = F.when(F.length("text") > max_chars, F.pmod(F.xxhash64("text"), F.length("text") - max_chars + 1)).otherwise(0).cast("int")
+    part = known.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.substring("text", at + 1, F.lit(max_chars)).alias("text"))
+    rows = bounded_sample(part, "lang", per_language, "doc_id", "h").select("doc_id", "text", "lang").distinct().collect()
     return train([(r[1], r[2]) for r in sorted(rows)])
 
 
@@ -115,7 +119,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, folds: int = 3, test_
 
     def run(batches):
         m = sent.value
-        for b in batches:
+        for b in (part for x in batches for part in unit_bpe.slices(x, "text", 1024)):
             lower = pc.cast(pc.utf8_lower(b.column("text")), pa.binary())
             pred, score, low = [], [], []
             for text, letter in zip(lower.to_pylist(), b.column("letter").to_pylist()):

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from . import unit_bpe
+from .common import discard, text_bytes, written
 
 K = 64
 _SEGMENT, _PLACE = 1 << 22, (1 << 23) - 1
@@ -73,7 +74,7 @@ def _anchors(min_len: int):
     names = ["doc_id", "th", "pos", "lo", "hi", "a", "c"]
 
     def run(batches):
-        for b in batches:
+        for b in (part for x in batches for part in unit_bpe.slices(x, "text", 512)):
             out = [[] for _ in names]
             for doc_id, th, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist()):
                 for pos, lo, hi, a in contexts(text, min_len):
@@ -273,6 +274,7 @@ def repeated_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
     each = written(texts.filter(F.length("text") >= min_len).mapInArrow(_anchors(min_len), "doc_id long, th long, pos int, lo int, hi int, a long, c long"), "repeat-anchors")
     often = written(each.groupBy("a").agg(F.count("*").alias("times")).filter("times > 1").select("a"), "repeat-often")
     found = written(each.join(often, "a"), "repeat-candidates")
+    discard(each, often)
     kinds = written(found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "lo", "hi")).alias("first")), "repeat-contexts")
     sizes = written(kinds.groupBy("a").agg(F.count("*").alias("m")), "repeat-sizes")
     wanted = kinds.join(sizes, "a").select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("h"), F.struct("a", "c", "n", "m", "first.pos", "first.lo", "first.hi").alias("w"))
@@ -280,6 +282,7 @@ def repeated_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
     # Rows repeated whole give their pieces again; equal spans are taken together below.
     texts_of = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("text", "wanted")
     pieces = written(texts_of.mapInArrow(_cut_out(min_len), "a long, c long, n long, m long, o int, bytes binary, s int, e int"), "repeat-pieces")
+    discard(kinds, sizes)
     spans = pieces.filter("m is null").select("a", "c", "s", "e")
     group = pieces.filter(f"m between 2 and {CONTEXTS}").select("a", "c", "n", "o", "bytes").repartition("a").sortWithinPartitions("a", "c")
     spans = spans.union(group.mapInArrow(_by_anchor(min_len), _SPAN))
@@ -289,11 +292,12 @@ def repeated_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
         twice = written(rows.groupBy("a", "h").agg(F.sum("n").alias("times")).filter("times > 1").select("a", "h"), "repeat-windows-often")
         spans = spans.union(rows.join(twice, ["a", "h"]).select("a", "c", "s", (F.col("s") + min_len).alias("e")))
     spans = written(spans.distinct(), "repeat-spans")
+    discard(pieces)
     return found.join(spans, ["a", "c"]).select("doc_id", "th", (F.col("lo") + F.col("s")).alias("lo"), (F.col("lo") + F.col("e")).alias("hi"))
 
 
 def _removed(batches):
-    for b in batches:
+    for b in (part for x in batches for part in unit_bpe.slices(x, "text", 512)):
         out = []
         for doc_id, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist()):
             cuts = merged((s["lo"], s["hi"]) for s in spans or ())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import unit_bpe
-from .common import text_bytes, written
+from .common import discard, text_bytes, written
 from .graph import components
 
 #: A key's group up to this size is scanned in memory; larger ones are linked through midpoints.
@@ -46,8 +46,7 @@ def _fingerprints(width: int, seed: int):
     def run(batches):
         unit_bpe.forget()
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for b in unit_bpe.slices(whole, "text", 512):
                 fp = np.array([fingerprint(t, width, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*b.schema.names[:-1], "fp"])
 
@@ -169,7 +168,9 @@ def _groups(first: DataFrame, radius: int) -> DataFrame:
     roots = components(near_links(first.select("fp"), radius))
     of = written(first.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "first", F.coalesce("root", "fp").alias("component")), "fingerprint-groups")
     least = written(of.groupBy("component").agg(F.min("first").alias("best")), "fingerprint-least")
-    return written(of.join(least, "component").select(F.col("fp").alias("of"), "best"), "fingerprint-components")
+    out = written(of.join(least, "component").select(F.col("fp").alias("of"), "best"), "fingerprint-components")
+    discard(roots, of, least)
+    return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:

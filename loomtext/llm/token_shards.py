@@ -203,14 +203,17 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 def in_written_order(docs: DataFrame) -> DataFrame:
     """number, doc_id, text: rows of a Parquet table numbered by its files (part and chunk number) and the rows in them.
 
-    A table that is no direct file scan has no written order and is numbered by doc_id.
+    A table that is no direct file scan is written first, in the order of its partitions and
+    their rows. A file's part number has 20 bits, its chunk 15, its rows 28; more is an error.
     """
+    place = [F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r")]
     try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+        placed = docs.select("doc_id", "text", *place)
     except AnalysisException:
-        return docs.select(F.col("doc_id").alias("number"), "doc_id", "text")
-    file = [F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(f, '{p}', 1), '') as long)"), F.lit(0)) for p in (r"part-([0-9]{1,7})", r"c([0-9]{1,4})[.]")]
-    number = F.shiftleft(file[0] * 1000 + F.pmod(file[1], F.lit(1000)), 28) + F.col("r")
+        placed = written(docs.select("doc_id", "text"), "shard-order").select("doc_id", "text", *place)
+    part, chunk = (F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(f, '{p}', 1), '') as long)"), F.lit(0)) for p in (r"part-([0-9]+)", r"-c([0-9]+)[.]"))
+    fits = (part < 1 << 20) & (chunk < 1 << 15) & (F.col("r") < 1 << 28)
+    number = F.when(fits, F.shiftleft(part, 43) + F.shiftleft(chunk, 28) + F.col("r")).otherwise(F.raise_error(F.lit("too many files or rows to number")).cast("long"))
     return placed.select(number.alias("number"), "doc_id", "text")
 
 

@@ -267,6 +267,8 @@ def train(texts: list[bytes], labels: list[int], prior: float, steps: int = 500,
                 net.p[k] -= (rate * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.999 ** (step + 1))) + 1e-8)).astype(np.float32)
     model._forget()
     check = held if min((y[held] == k).sum() for k in (0, 1)) >= 20 else order
+    if not len(check):
+        return model
     s, t = model.logits([docs[i] for i in check]), y[check].astype(float)
     share = min(max(t.mean(), 1e-6), 1 - 1e-6)
     weight = np.where(t > 0, min(max(prior, 1e-3), 0.999) / share, (1 - min(max(prior, 1e-3), 0.999)) / (1 - share)) / len(t)
@@ -275,8 +277,7 @@ def train(texts: list[bytes], labels: list[int], prior: float, steps: int = 500,
         z = np.where(t > 0, -1, 1) * (at[0] * s + at[1])
         return float((weight * np.logaddexp(0, z)).sum() + 1e-3 * (at[0] - 1) ** 2 + 1e-4 * at[1] ** 2)
 
-    if len(check):
-        model.scale, model.shift = min(((a, b) for a in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8) for b in np.arange(-10, 10.25, 0.25).tolist()), key=loss)
+    model.scale, model.shift = min(((a, b) for a in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8) for b in np.arange(-10, 10.25, 0.25).tolist()), key=loss)
     return model
 
 
@@ -284,12 +285,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: in
     """Trains on labelled documents outside fold 0: about ``per_class`` of each label, none over ``max_bytes``.
 
     Both bounds keep the sample (broadcast to find its texts, then on the driver) small; they
-    touch training only. Labels are joined by doc_id; null labels and unlabelled rows teach nothing.
+    touch training only. Labels are joined by doc_id; null labels and unlabelled rows teach
+    nothing, a document with both labels counts as toxic, and of texts that share an id the
+    first by the alphabet is learnt from.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(F.pmod(id_crc(), F.lit(folds)) != 0)
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(F.pmod(id_crc(), F.lit(folds)) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    sample = bounded_sample(known, "toxic", per_class).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect()
+    sample = bounded_sample(known, "toxic", per_class)
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text")).collect()
     rows.sort()
     return train([r[2].lower().encode("utf-8", "surrogatepass") for r in rows], [r[1] for r in rows], prior)
 
@@ -310,8 +313,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, folds: int = 5) -> Da
     def run(batches):
         unit_bpe.forget()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in unit_bpe.slices(b, "text", 256):
                 s = _scores(sent.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -326,8 +328,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches):
         unit_bpe.forget()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in unit_bpe.slices(b, "text", 256):
                 yield part.filter(pa.array(_scores(sent.value, part.column("text")) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

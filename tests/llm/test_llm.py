@@ -502,6 +502,63 @@ def test_without_repeats(spark, docs, rows, none, monkeypatch, suffixes, context
     assert repeats.without_repeats(none).count() == 0
 
 
+def brute_passages(rows, n):
+    """Words of each row in strings of n words that a row of another id or text has too."""
+    keys = [(r[0], r[1] or "") for r in rows]
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t in keys]
+    owners = collections.defaultdict(set)
+    for k, t in zip(keys, texts):
+        for i in range(len(t) - n + 1):
+            owners[tuple(t[i : i + n])].add(k)
+    for t in texts:
+        yield len({j for i in range(len(t) - n + 1) if len(owners[tuple(t[i : i + n])]) > 1 for j in range(i, i + n)})
+
+
+@pytest.mark.parametrize("suffixes, contexts", [(150_000, 20_000), (20, 20_000), (150_000, 1)])
+def test_repeated_passages(spark, docs, rows, none, monkeypatch, suffixes, contexts):
+    """Passages of 51 words of any length in bytes, white space apart, in other documents only."""
+    monkeypatch.setattr(repeats, "SUFFIXES", suffixes)
+    monkeypatch.setattr(repeats, "CONTEXTS", contexts)
+    rng = random.Random(15)
+    shared, short = words(rng, 90).split(), [rng.choice("abcde") for _ in range(70)]
+    own = []
+    for i in range(14):
+        at = rng.randint(0, 30)
+        part = shared[at : at + rng.randint(48, 60)] if i % 2 else short[: 45 + i]
+        own.append((3000 + i, f"{words(rng, rng.randint(0, 30))} {rng.choice((' ', chr(10), '  '))}{rng.choice((' ', '  ')).join(part)} {words(rng, rng.randint(0, 30))}", "en", "s"))
+    line = words(rng, 30)
+    own += [(3100, "\n".join([line] * 5), "en", "s"), (3101, words(rng, 300), "en", "s"), (3101, words(rng, 300), "en", "s"), (3102, "é " * 60, "en", "s"), (None, "é " * 55, "en", "s")]
+    every = rows + own
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_repeated_words, r.kept) for r in repeats.without_repeats(docs_of(spark, every)).collect())
+    want = sorted((r[0] if r[0] is not None else -1, len((r[1] or "").encode()), n) for r, n in zip(every, brute_passages(every, 51)))
+    assert [x[:3] for x in got] == want and sum(n for *_, n in want) > 400
+    assert all(len(x[3]) <= x[1] for x in got)
+
+
+def test_word_codes(monkeypatch):
+    rng = random.Random(17)
+    text = words(rng, 3000).encode() + b"\t\n x\x0by "
+    codes = repeats.word_codes(text)
+    split = text.split()
+    assert len(codes) == len(split) and len(set(codes.tolist())) == len(set(split)) and all((codes[i] == codes[j]) == (split[i] == split[j]) for i in range(0, 3000, 97) for j in range(0, 3000, 31))
+    monkeypatch.setattr(repeats, "_WORDS", 50)
+    repeats._powers.cache_clear()
+    assert repeats.word_codes(text).tolist() == codes.tolist()
+    repeats._powers.cache_clear()
+    assert len(repeats.word_codes(b"")) == len(repeats.word_codes(b" \n")) == 0
+
+
+def test_repeats_across_segments(monkeypatch):
+    """The seam of the parts that a very long text is read in."""
+    rng = random.Random(19)
+    text = bytes(rng.choice(b"abcdef ") for _ in range(9000))
+    one = [tuple(map(int, x)) for part in repeats.contexts(text, 400) for x in zip(*part)]
+    monkeypatch.setattr(repeats, "_SEGMENT", 1000)
+    many = [tuple(map(int, x)) for part in repeats.contexts(text, 400) for x in zip(*part)]
+    cover = lambda cs: {(w, p, a) for p, s, e, a in cs for w in range(s, e + 1)}
+    assert cover(one) == cover(many)
+
+
 def test_maximal_repeats():
     rng = random.Random(10)
     for _ in range(150):

@@ -72,7 +72,9 @@ def curve_at_k(ranked: DataFrame, qrels: DataFrame, kmax: int = 10) -> DataFrame
     hits = ranked.filter(F.col("rank") <= kmax).join(rel, ["qid", "doc_id"], "left_semi").select("qid", "rank")
     grid = qrels.select("qid").distinct().select("qid", F.explode(F.sequence(F.lit(1), F.lit(kmax))).alias("k"))
     per = grid.join(hits, "qid", "left").groupBy("qid", "k").agg(F.count_if(F.col("rank") <= F.col("k")).alias("h")).join(n_rel, "qid", "left").fillna(0, ["relevant"])
-    return per.groupBy("k").agg(F.round(F.avg(F.round(F.col("h") / F.col("k"), 4)), 4).alias("p"), F.round(F.avg(F.round(ratio(F.col("h"), F.col("relevant"), 1.0), 4)), 4).alias("r"))
+    # Means of ten-thousandths as whole numbers: they don't depend on the order of the queries.
+    mean = lambda x: F.round(F.sum(F.round(x * 10_000).cast("long")) / F.count("*") / 10_000, 4)
+    return per.groupBy("k").agg(mean(F.col("h") / F.col("k")).alias("p"), mean(ratio(F.col("h"), F.col("relevant"), 1.0)).alias("r"))
 
 
 def tagging_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -63,6 +63,21 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", clean_text(F.col("text"), fmt, log=False).alias("text"))
 
 
+def running_starts(sizes: Column, chunk: int = 256) -> Column:
+    """For an array of sizes the sum of those before each.
+
+    Sums inside chunks first, then those of the chunks before are added: an append copies a
+    chunk or the list of chunks, never the whole array.
+    """
+    none = F.array().cast("array<int>")
+    inside = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+    places = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(chunk))).otherwise(none)
+    parts = F.transform(places, lambda i: inside(F.slice(sizes, i, chunk)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(p["out"], lambda x: x + a["at"]))).alias("out"))
+    return F.flatten(F.aggregate(parts, start, step)["out"])
+
+
 def positioned(docs: DataFrame, tokenizer: str = "plain", sentences: str = "lines", rules: list[str] | None = None) -> DataFrame:
     """doc_id, sent_no, tok_no, pos, surface for every token."""
     sents = docs.select("doc_id", T.split_sentences(F.col("text"), sentences).alias("sents"))
@@ -71,14 +86,14 @@ def positioned(docs: DataFrame, tokenizer: str = "plain", sentences: str = "line
         sents = sents.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sent_no", "toks"))), lambda x: x["toks"]).alias("toks"))
     else:
         sents = sents.select("doc_id", F.transform("sents", lambda s: T.tokenize(s, tokenizer, rules)).alias("toks"))
-    first = F.aggregate("toks", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.size(t) + 1)))
-    each = sents.select("doc_id", F.posexplode(F.arrays_zip("toks", F.slice(first, 1, F.size("toks")).alias("first"))).alias("sent_no", "z"))
+    sents = sents.withColumn("first", running_starts(F.transform("toks", lambda t: F.size(t) + 1)))
+    each = sents.select("doc_id", F.posexplode(F.arrays_zip("toks", "first")).alias("sent_no", "z"))
     return each.select("doc_id", "sent_no", F.col("z.first").alias("first"), F.posexplode("z.toks").alias("tok_no", "surface")).select("doc_id", "sent_no", "tok_no", (F.col("first") + F.col("tok_no")).alias("pos"), "surface")
 
 
 def tokens(docs: DataFrame, p: Pipeline) -> DataFrame:
     """The token table of a pipeline over (doc_id, text)."""
-    t = N.add_norm(positioned(docs, p.tokenizer, p.sentences, list(p.rules) if p.rules else None), p.normalizer)
+    t = N.add_norm(positioned(docs, p.tokenizer, p.sentences, None if p.rules is None else list(p.rules)), p.normalizer)
     checked = F.lower("surface") if p.order == "stop_then_norm" else F.col("norm")
     t = t.withColumn("is_word", N.is_word(F.col("surface"))).withColumn("is_stop", N.in_list(checked, p.stop))
     return t.withColumn("term", F.when(F.col("is_word") & ~F.col("is_stop"), F.col("norm")))
@@ -95,15 +110,18 @@ def postings(toks: DataFrame, p: Pipeline) -> DataFrame:
     return terms.union(parts.select(F.col("part").alias("term"), "doc_id", "pos", "surface"))
 
 
+def by_form(toks: DataFrame) -> DataFrame:
+    """(surface, norm, is_stop, term, n): the tokens by their form, from which counts of types are taken."""
+    return toks.groupBy("surface", "norm", "is_stop", "term").agg(F.count("*").alias("n"))
+
+
 def stage_counts(toks: DataFrame) -> DataFrame:
-    """(stage, tokens, vocabulary), from one aggregate row."""
-    kept, low = ~F.col("is_stop"), F.lower("surface")
-    one = toks.agg(
-        F.count("*").alias("n0"), F.countDistinct("surface").alias("v0"), F.countDistinct(low).alias("v1"),
-        F.count_if(kept).alias("n2"), F.countDistinct(F.when(kept, low)).alias("v2"),
-        F.countDistinct("norm").alias("v3"), F.count("term").alias("n4"), F.countDistinct("term").alias("v4"),
-    )
-    return one.selectExpr("stack(5, 'tokenized', n0, v0, 'lowercased', n0, v1, 'stopwords_removed', n2, v2, 'normalized', n0, v3, 'index_terms', n4, v4) as (stage, tokens, vocabulary)")
+    """(stage, tokens, vocabulary): tokens are grouped by form once, types are counted over the forms."""
+    forms, low = by_form(toks), F.lower("surface")
+    kinds = [("tokenized", F.col("surface"), None), ("lowercased", low, None), ("stopwords_removed", low, ~F.col("is_stop")), ("normalized", F.col("norm"), None), ("index_terms", F.col("term"), None)]
+    # Each form goes under every stage that keeps it; forms are few beside tokens.
+    tagged = forms.select("n", F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), (v if kept is None else F.when(kept, v)).alias("v")) for name, v, kept in kinds])).alias("x")).select("n", "x.*").filter("v is not null")
+    return tagged.groupBy("stage", "v").agg(F.sum("n").alias("n")).groupBy("stage").agg(F.sum("n").alias("tokens"), F.count("*").alias("vocabulary"))
 
 
 def sentence_streams(toks: DataFrame) -> DataFrame:
@@ -122,7 +140,8 @@ def stored_tokens(docs: DataFrame, p: Pipeline, folder: str) -> DataFrame:
     """The token table, written once for each corpus and configuration, and read from then on."""
     from pyspark.sql.utils import AnalysisException
 
-    spark, path = docs.sparkSession, f"{folder}/{fingerprint(docs)}-{p.tokenizer}-{p.sentences}-{p.normalizer}-{p.stopwords}-{p.order}"
+    rules = "all" if p.rules is None else "+".join(p.rules) or "none"
+    spark, path = docs.sparkSession, f"{folder}/{fingerprint(docs)}-{p.tokenizer}-{rules}-{p.sentences}-{p.normalizer}-{p.stopwords}-{p.order}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:

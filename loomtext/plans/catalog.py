@@ -288,7 +288,7 @@ def stop_stem_leak(spark, sf):
     return t.join(F.broadcast(stop), "term", "left_semi").groupBy(F.col("term").alias("stem")).agg(F.count("*").alias("n"))
 
 
-@query(TOK + ", y AS (SELECT DISTINCT surface, low FROM tok) SELECT surface FROM y WHERE surface <> low AND low IN (SELECT surface FROM y)")
+@query(TOK + ", y AS MATERIALIZED (SELECT DISTINCT surface, low FROM tok) SELECT a.surface FROM y a SEMI JOIN y b ON a.low = b.surface WHERE a.surface <> a.low")
 def case_duplicates(spark, sf):
     return stats.case_duplicates(toks(spark, sf))
 
@@ -660,7 +660,7 @@ def retrieval_metrics(spark, sf):
     return evaluate.retrieval_scores(*_ranked(spark, sf))
 
 
-@query("WITH " + _RANKED + ", rel AS (SELECT qid, doc_id FROM rl WHERE relevant = 1), q AS (SELECT DISTINCT qid FROM rl), nr AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid), hh AS (SELECT qid, rank FROM rk SEMI JOIN rel USING (qid, doc_id)), g AS (SELECT q.qid, k, count(hh.rank) AS h FROM q CROSS JOIN range(1, 11) AS x(k) LEFT JOIN hh ON hh.qid = q.qid AND hh.rank <= k GROUP BY q.qid, k) SELECT k, round(avg(round(h / k, 4)), 4) AS p, round(avg(round(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE h / n END, 4)), 4) AS r FROM g LEFT JOIN nr USING (qid) GROUP BY k")
+@query("WITH " + _RANKED + ", rel AS (SELECT qid, doc_id FROM rl WHERE relevant = 1), q AS (SELECT DISTINCT qid FROM rl), nr AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid), hh AS (SELECT qid, rank FROM rk SEMI JOIN rel USING (qid, doc_id)), g AS (SELECT q.qid, k, count(hh.rank) AS h FROM q CROSS JOIN range(1, 11) AS x(k) LEFT JOIN hh ON hh.qid = q.qid AND hh.rank <= k GROUP BY q.qid, k) SELECT k, round(sum(round(h / k * 10000)::BIGINT) / count(*) / 10000, 4) AS p, round(sum(round(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE h / n END * 10000)::BIGINT) / count(*) / 10000, 4) AS r FROM g LEFT JOIN nr USING (qid) GROUP BY k")
 def curve_at_k(spark, sf):
     return evaluate.curve_at_k(*_ranked(spark, sf))
 

@@ -76,9 +76,41 @@ def test_office_files():
     assert L.parse("d.docx", b.getvalue())["text"] == "One\na. b."
 
 
-def test_dialogue_record():
-    text, acts = L.dialogue_record({"question": " q ", "conversation": "T: (probe) why|EOM|S: so: it is"})
-    assert text == "Problem: q\nConversation:\nT: why\nS: so: it is" and acts == {"probe": 1}
+def test_records(spark, tmp_path):
+    import json
+
+    files = [
+        ("a.jsonl", b'{"question": " q ", "conversation": "T: (probe) why|EOM|S: so: it is|EOM| "}\n\n{"question": "r", "student_profile": "P", "conversation": null}'),
+        ("b.csv", b"a,b\n1,x\n2,\n"),
+        ("c.csv", b"question,student_incorrect_solution,teacher_described_confusion,self-correctness\nq, w ,c,Yes\n"),
+        ("d.json", json.dumps([{"Misconception ID": "MaE01", "Topic": "T", "Misconception": " m ", "Question": "a\n b", "Incorrect Answer": "1", "Correct Answer": 2, "Source": "s"}]).encode()),
+        ("e.json", json.dumps({"learner_name": "Asha", "learner_id": "L1", "tutor": "Bot", "platform": "P", "sessions": [{"session": 1, "date": "2026-01-01", "turns": [{"t": "10:00", "speaker": "tutor", "text": "hi"}, {"t": "10:01", "speaker": "learner", "text": "yo"}]}]}).encode()),
+        ("f.json", json.dumps({"a": ["x", {"b": "y"}, 3], "c": "z"}).encode()),
+    ]
+    got = {r.filename: r for r in L.load_bytes(spark, files).collect()}
+    assert got["a.jsonl"].text == "Problem: q\nConversation:\nT: why\nS: so: it is\n\nProblem: r\nProfile: P"
+    assert json.loads(got["a.jsonl"].meta["dialogue_acts_removed"]) == {"probe": 1} and got["a.jsonl"].meta["records"] == "2"
+    assert got["b.csv"].text == "a: 1\nb: x\n\na: 2"
+    assert got["c.csv"].text == "Problem: q\nIncorrect solution: w\nConfusion: c\nSolved: Yes"
+    assert got["d.json"].text == "Misconception MaE01 (T): m\nQuestion: a b\nIncorrect answer: 1\nCorrect answer: 2\nSource: s"
+    assert got["e.json"].text == "Learner: Asha (L1). Tutor: Bot. Platform: P.\nSession 1 on 2026-01-01\n[10:00] Bot: hi\n[10:01] Asha: yo"
+    assert got["f.json"].text == "a: x\nb: y\nc: z"
+    (tmp_path / "m.jsonl").write_bytes(files[0][1])
+    (tmp_path / "n.jsonl").write_text('{"question": "third"}\n')
+    assert [(r.doc_id, r.title) for r in L.load_dialogues(spark, str(tmp_path)).orderBy("doc_id").collect()] == [("MD00001", "q"), ("MD00002", "r"), ("MD00003", "third")]
+
+
+def test_xml_dialects():
+    book = """<document xmlns="http://cnx.rice.edu/cnxml" xmlns:m="http://www.w3.org/1998/Math/MathML"><title>Adding</title><metadata><x>no</x><content-id>m1</content-id><abstract>Short.</abstract></metadata>
+<content><section><title>One</title><para>Take <m:math><m:mfrac><m:mn>1</m:mn><m:mn>2</m:mn></m:mfrac></m:math> of it.<media alt="a pie"><image/></media></para><list><item>a</item><item>b</item></list></section></content></document>"""
+    r = L.parse("book.cnxml", book.encode())
+    assert r["title"] == "Adding" and r["text"].split() == "Adding Short. One Take 1/2 of it. a b".split()
+    assert (r["meta"]["math_expressions"], r["meta"]["alt_texts_removed"], r["meta"]["module"]) == ("1", "1", "m1")
+    assert [x.strip() for x in r["text"].split("\n") if x.strip()] == ["Adding", "Short.", "One", "Take 1/2 of it.", "a", "b"]
+    acl = '<collection source="ACL Anthology" title="C"><volume id="V1"><paper><title>On <b>x</b></title><author><first>A</first><last>B</last><affiliation>U</affiliation></author><author><last>C</last></author><abstract>t  u</abstract></paper></volume></collection>'
+    r = L.parse("c.xml", acl.encode())
+    assert r["text"] == "On x\nAuthors: A B (U); C\nVenue: V1\nt u\n" and r["meta"]["papers"] == "1" and r["title"] == "C"
+    assert L.parse("d.xml", b"<r><a>x</a><b>y</b></r>")["text"] == "x y"
 
 
 def test_orders_differ(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +64,12 @@ def retrieval_scores(ranked: DataFrame, qrels: DataFrame, ks: tuple[int, ...] =
     return q.select("qid", *cols, F.round(ratio(F.col("ap_sum"), F.col("relevant"), 1.0), 4).alias("ap"))
 
 
+def dense_qrels(docs: DataFrame, queries: list[str], sparse: DataFrame) -> DataFrame:
+    """(doc_id, qid, relevant) for each document and each of a stated list of queries; ``sparse`` has the rows above zero."""
+    grid = docs.select("doc_id", F.explode(F.array(*map(F.lit, queries))).alias("qid"))
+    return grid.join(sparse, ["doc_id", "qid"], "left").select("doc_id", "qid", F.coalesce("relevant", F.lit(0)).alias("relevant"))
+
+
 def curve_at_k(ranked: DataFrame, qrels: DataFrame, kmax: int = 10) -> DataFrame:
     """(k, p, r): precision and recall at each cut-off, averaged over the queries of ``qrels``."""
     rel = qrels.filter("relevant = 1").select("qid", "doc_id")
@@ -95,28 +100,42 @@ def confusion_matrix(df: DataFrame, gold: str, pred: str, labels: list) -> DataF
     return rows.join(F.broadcast(wide), "gold", "left").fillna(0)
 
 
-def ner_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(label, gold, predicted, correct, incorrect, missed, spurious, precision, recall, f1); label ``ALL`` sums up.
+_ENTITY = "struct<ord: int, start: int, end: int, label: string>"
+
+
+def ner_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(id, start, end, label, predicted, status) of every gold entity and every spurious prediction.
 
     Both tables have id, ord, start, end, label. In the order of the gold entities: an exact
     match is correct, else the first free overlapping prediction makes it incorrect, else it is
-    missed; predictions that overlap nothing are spurious. The order matters, so each sentence
-    is matched as a group.
+    missed; predictions that overlap nothing are spurious. The order matters, so a sentence's
+    entities are folded as two sorted arrays.
     """
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("ord", "int"), ("start", "int"), ("end", "int"), ("label", "string"))]))).alias(name))
+
+    none = F.array().cast(f"array<{_ENTITY}>")
+    both = listed(gold, "g").join(listed(pred, "p"), "id", "full_outer").select("id", F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
+    cross = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    out = "array<struct<start: int, end: int, label: string, predicted: string, status: string>>"
+
+    def step(acc, e):
+        exact = F.filter("p", lambda x: (x["start"] == e["start"]) & (x["end"] == e["end"]) & (x["label"] == e["label"]))
+        near = F.filter("p", lambda x: cross(x, e) & ~F.array_contains(acc["used"], x["ord"]))
+        hit = F.when(F.size(exact) > 0, exact[0]).when(F.size(near) > 0, near[0])
+        status = F.when(F.size(exact) > 0, "correct").when(hit.isNotNull(), "incorrect").otherwise("missed")
+        row = F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), hit["label"].alias("predicted"), status.alias("status"))
+        used = F.when(hit.isNotNull(), F.concat(acc["used"], F.array(hit["ord"]))).otherwise(acc["used"])
+        return F.struct(used.alias("used"), F.concat(acc["rows"], F.array(row)).cast(out).alias("rows"))
+
+    folded = both.withColumn("a", F.aggregate("g", F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(out).alias("rows")), step))
+    extra = F.transform(F.filter("p", lambda x: ~F.array_contains("a.used", x["ord"]) & ~F.exists("g", lambda e: cross(x, e))), lambda x: F.struct(x["start"], x["end"], F.lit(None).cast("string"), x["label"], F.lit("spurious"))).cast(out)
+    return folded.select("id", F.explode(F.concat("a.rows", extra)).alias("r")).select("id", "r.*")
 
-    def match(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        ps = [tuple(r) for r in p.sort_values("ord")[["start", "end", "label"]].itertuples(index=False)]
-        gs = [tuple(r) for r in g.sort_values("ord")[["start", "end", "label"]].itertuples(index=False)]
-        used, out = set(), []
-        for s, e, label in gs:
-            exact = next((i for i, x in enumerate(ps) if x == (s, e, label)), None)
-            near = exact if exact is not None else next((i for i, x in enumerate(ps) if i not in used and x[0] < e and s < x[1]), None)
-            out.append((label, "missed" if near is None else "correct" if exact is not None else "incorrect"))
-            used.add(near)
-        out += [(x[2], "spurious") for i, x in enumerate(ps) if i not in used and not any(x[0] < e and s < x[1] for s, e, _ in gs)]
-        return pd.DataFrame(out, columns=["label", "status"])
-
-    rows = gold.groupBy("id").cogroup(pred.groupBy("id")).applyInPandas(match, "label string, status string")
+
+def ner_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(label, gold, predicted, correct, incorrect, missed, spurious, precision, recall, f1); label ``ALL`` sums up."""
+    rows = ner_rows(gold, pred).withColumn("label", F.coalesce("label", "predicted"))
     kinds = ["correct", "incorrect", "missed", "spurious"]
     c = rows.rollup("label").agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds]).withColumn("label", F.coalesce("label", F.lit("ALL")))
     c = c.withColumns({"gold": F.col("correct") + F.col("incorrect") + F.col("missed"), "predicted": F.col("correct") + F.col("incorrect") + F.col("spurious")})
@@ -124,6 +143,36 @@ def ner_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return c.select("label", "gold", "predicted", *kinds, F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1(p, r), 4).alias("f1"))
 
 
+def ner_comparison(gold: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, start, end, label, predicted_1, status_1, predicted_2, status_2): what two systems make of each gold entity."""
+    keys = ["id", "start", "end", "label"]
+    one, two = (ner_rows(gold, p).filter("status <> 'spurious'").select(*keys, F.col("predicted").alias(f"predicted_{i}"), F.col("status").alias(f"status_{i}")) for i, p in ((1, first), (2, second)))
+    return one.join(two, keys, "full_outer")
+
+
+def lemma_accuracy(gold: DataFrame, lemmatizers: dict) -> DataFrame:
+    """(lemmatizer, tokens, correct, accuracy, errors): lemmas of alphabetic words of (token, lemma) under each function of a column.
+
+    errors has the eight commonest as ``token->lemma (gold lemma)``, ties by the text.
+    """
+    words = gold.filter(F.col("token").rlike(r"^\p{L}+$")).groupBy("token", "lemma").agg(F.count("*").alias("n"))
+    out = None
+    for name, lemma in lemmatizers.items():
+        one = words.select(F.lit(name).alias("lemmatizer"), "token", F.lower("lemma").alias("lemma"), "n", F.lower(lemma(F.lower("token"))).alias("own"))
+        out = one if out is None else out.union(one)
+    right = F.col("own") == F.col("lemma")
+    wrong = out.filter(~right).groupBy("lemmatizer", F.concat("token", F.lit("->"), "own", F.lit(" (gold "), "lemma", F.lit(")")).alias("e")).agg(F.sum("n").alias("n"))
+    wrong = wrong.withColumn("r", F.row_number().over(Window.partitionBy("lemmatizer").orderBy(F.desc("n"), "e"))).filter("r <= 8")
+    wrong = wrong.groupBy("lemmatizer").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "e"))), lambda x: x["e"]), "; ").alias("errors"))
+    sums = out.groupBy("lemmatizer").agg(F.sum("n").alias("tokens"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("correct"))
+    return sums.join(F.broadcast(wrong), "lemmatizer", "left").select("lemmatizer", "tokens", "correct", F.round(ratio(F.col("correct"), F.col("tokens")), 4).alias("accuracy"), F.coalesce("errors", F.lit("")).alias("errors"))
+
+
+def median(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
+    """(by, median) of a column, the mean of the two middle values where there are two."""
+    return df.groupBy(*([by] if by else [])).agg(F.median(c).alias("median"))
+
+
 def select_pipeline(scores: DataFrame) -> DataFrame:
     """The winner of (name, f1, p_at_5, fidelity, vocabulary, posthoc): post-hoc runs are not eligible."""
     return scores.filter(~F.col("posthoc")).orderBy(F.desc("f1"), F.desc("p_at_5"), F.desc("fidelity"), "vocabulary", "name").limit(1)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokenizers as K
+from ..session import scratch
+from ..sources.sinks import stored_index
 from . import evaluate, ngrams, pipeline
 from .index import PositionalIndex, fidelity
 from .search import Engine, search_many
@@ -23,22 +25,56 @@ def before_after(toks: DataFrame) -> DataFrame:
     return one.selectExpr("stack(2, 'tokens', t0, t1, 'vocabulary', v0, v1) as (measure, before, after)")
 
 
+def top_terms(toks: DataFrame, k: int = 40) -> DataFrame:
+    """(side, rank, term, count): the commonest words as they come and as they are indexed."""
+    sides = F.array(F.struct(F.lit("before").alias("side"), F.when(F.col("is_word"), F.lower("surface")).alias("term")), F.struct(F.lit("after").alias("side"), F.col("term").alias("term")))
+    counts = toks.select(F.explode(sides).alias("x")).select("x.*").filter("term is not null").groupBy("side", "term").agg(F.count("*").alias("count"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("count"), "term"))).filter(F.col("rank") <= k).select("side", "rank", "term", "count")
+
+
+def scale_summary(docs: DataFrame, by: str, p: pipeline.Pipeline) -> DataFrame:
+    """(collection, documents, characters, sentences, tokens_whitespace, index_terms) of each collection of documents (doc_id, text, ``by``)."""
+    of = docs.select("doc_id", F.col(by).alias("collection"))
+    sizes = docs.groupBy(F.col(by).alias("collection")).agg(
+        F.count("*").alias("documents"), F.sum(F.length("text").cast("long")).alias("characters"),
+        F.sum(F.size(K.split_sentences(F.col("text"), p.sentences)).cast("long")).alias("sentences"),
+        F.sum(F.size(F.filter(K.whitespace(F.col("text")), lambda w: w.rlike(r"[\p{L}\p{N}]"))).cast("long")).alias("tokens_whitespace"),
+    )
+    each = pipeline.tokens(docs.select("doc_id", "text"), p).filter("term is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    terms = of.join(each, "doc_id").groupBy("collection").agg(F.sum("n").alias("index_terms"))
+    return sizes.join(terms, sizes["collection"].eqNullSafe(terms["collection"]), "left").select(sizes["collection"], "documents", "characters", "sentences", "tokens_whitespace", F.coalesce("index_terms", F.lit(0)).alias("index_terms"))
+
+
 def metric_means(scores: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     return scores.groupBy(by).agg(*[F.round(F.avg(m), 4).alias(m) for m in metrics])
 
 
 def compare(docs: DataFrame, names: list[str], queries: list[tuple[str, str]], qrels: DataFrame, limit: int | None = None) -> DataFrame:
-    """(name, precision, recall, f1, ap, p_at_5, vocabulary, posthoc) of named pipelines over the same queries."""
-    out = []
+    """(name, precision, recall, f1, ap, p_at_5, vocabulary, posthoc) of named pipelines over the same queries.
+
+    Each pipeline's index is built once, as a table sorted by term in the shared folder; the
+    searches read the row groups of their terms.
+    """
+    out, spark = [], docs.sparkSession
     for name in names:
         p = pipeline.PIPELINES[name]
-        ix = PositionalIndex.build(docs, p)
+        ix = stored_index(PositionalIndex.build(docs, p), scratch(spark, f"index-{name}"))
         scores = evaluate.retrieval_scores(search_many(Engine(ix), queries, limit=limit), qrels)
         means = scores.agg(*[F.round(F.avg(m), 4).alias(m) for m in ("precision", "recall", "f1", "ap", "p_at_5")])
-        out.append(means.join(F.broadcast(ix.terms().agg(F.count("*").alias("vocabulary")))).withColumns({"name": F.lit(name), "posthoc": F.lit(p.posthoc)}))
+        one = means.join(F.broadcast(ix.terms().agg(F.count("*").alias("vocabulary")))).withColumns({"name": F.lit(name), "posthoc": F.lit(p.posthoc)})
+        out.append(spark.createDataFrame(one.collect(), one.schema))  # a row for each pipeline
     return union_all(out)
 
 
+def measures_by_pipeline(scores: DataFrame, shown: list[str], measures: tuple[str, ...] = ("vocabulary", "precision", "recall", "f1", "ap", "p_at_5")) -> DataFrame:
+    """(measure, a column for each pipeline shown, final): the comparison turned, with the pipeline that the rule selects last."""
+    rule = scores.withColumn("fidelity", F.lit(0.0)) if "fidelity" not in scores.columns else scores
+    winner = evaluate.select_pipeline(rule).select("name").first()[0]
+    long = scores.select("name", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for i, m in enumerate(measures)])).alias("x")).select("name", "x.*")
+    wide = long.groupBy("i", "measure").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(f"pipeline_{n.lower()}") for n in shown], F.max(F.when(F.col("name") == winner, F.col("v"))).alias("final"))
+    return wide.withColumn("final_name", F.lit(winner)).orderBy("i").drop("i")
+
+
 def term_fidelity(docs: DataFrame, index: PositionalIndex, terms: list[str]) -> DataFrame:
     """Lexicon terms: documents that hold the words side by side against documents that the phrase search finds."""
     engine, truth, found = Engine(index), [], []

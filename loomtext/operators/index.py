@@ -50,10 +50,16 @@ class PositionalIndex:
         n = self.postings.groupBy("doc_id").agg(F.count("*").alias("doc_len"))
         return self.docs.join(n, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
 
-    def grouped(self) -> DataFrame:
-        """(term, df, cf, postings): positions of each document, ascending; the form for export."""
+    def grouped(self, block_docs: int = 1 << 16) -> DataFrame:
+        """(term, block, df, cf, postings): positions of each document, ascending; the form for export.
+
+        A term's postings go in blocks of documents (by ranges of numeric ids, else by a hash),
+        so that no row holds those of the whole corpus; df and cf are those of the block.
+        """
+        numeric = dict(self.postings.dtypes)["doc_id"] in ("int", "bigint")
+        block = F.expr(f"doc_id div {block_docs}") if numeric else F.pmod(F.xxhash64("doc_id"), F.lit(1024))
         each = self.postings.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).cast("long").alias("cf"), F.sort_array(F.collect_list(F.struct("doc_id", "positions"))).alias("postings"))
+        return each.groupBy("term", block.cast("long").alias("block")).agg(F.count("*").alias("df"), F.sum(F.size("positions")).cast("long").alias("cf"), F.sort_array(F.collect_list(F.struct("doc_id", "positions"))).alias("postings"))
 
     # ---- look-ups
     def term(self, term: str, positions: int = 50, surfaces: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -80,16 +86,33 @@ def idf(n: Column, df: Column) -> Column:
     return F.log10(n / df)
 
 
+def unit_starts(posts: DataFrame, units: list[list[tuple[str, int]]]) -> DataFrame:
+    """(doc_id, u, start): where each unit's terms stand at their relative offsets; one scan and one aggregate for all units.
+
+    A term's places in the units are looked up; each match sets the bit of its place, and a
+    unit is there where all its bits meet at one start. Units of more than 62 terms count places.
+    """
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    sizes = []
+    for u, terms in enumerate(units):
+        offsets = sorted({off - terms[0][1] for _, off in terms})
+        sizes.append(len(offsets))
+        for t, off in dict.fromkeys(terms):
+            places.setdefault(t, []).append((u, off - terms[0][1], offsets.index(off - terms[0][1])))
+    where = F.array().cast("array<struct<u: int, off: int, bit: int>>")
+    for t, at in places.items():
+        where = F.when(F.col("term") == t, F.array(*[F.struct(F.lit(u).alias("u"), F.lit(off).alias("off"), F.lit(bit).alias("bit")) for u, off, bit in at])).otherwise(where)
+    hits = posts.filter(F.col("term").isin(list(places))).select("doc_id", "pos", F.explode(where).alias("x")).select("doc_id", "x.u", (F.col("pos") - F.col("x.off")).alias("start"), "x.bit")
+    group = hits.groupBy("doc_id", "u", "start")
+    need = F.coalesce(*[F.when(F.col("u") == u, F.lit(n)) for u, n in enumerate(sizes)])
+    if max(sizes) <= 62:
+        return group.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).filter(F.bit_count("bits") == need).select("doc_id", "u", "start")
+    return group.agg(F.countDistinct("bit").alias("k")).filter(F.col("k") == need).select("doc_id", "u", "start")
+
+
 def phrase_starts(posts: DataFrame, terms: list[tuple[str, int]]) -> DataFrame:
-    """(doc_id, start) of the matches: one scan of the terms' postings and one aggregate, whatever the length."""
-    slots: dict[str, list[int]] = {}
-    for t, off in terms:
-        slots.setdefault(t, []).append(off - terms[0][1])
-    where = F.array().cast("array<int>")
-    for t, offs in slots.items():
-        where = F.when(F.col("term") == t, F.array(*map(F.lit, offs))).otherwise(where)
-    hits = posts.filter(F.col("term").isin(list(slots))).select("doc_id", "pos", F.explode(where).alias("slot"))
-    return hits.groupBy("doc_id", (F.col("pos") - F.col("slot")).alias("start")).agg(F.countDistinct("slot").alias("k")).filter(F.col("k") == len({o - terms[0][1] for _, o in terms})).select("doc_id", "start")
+    """(doc_id, start) of the matches of one phrase."""
+    return unit_starts(posts, [terms]).select("doc_id", "start")
 
 
 def fidelity(truth: DataFrame, found: DataFrame) -> DataFrame:

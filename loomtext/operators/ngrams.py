@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import in_list
@@ -88,3 +88,23 @@ def network(bigrams: DataFrame, top_edges: int = 60) -> tuple[DataFrame, DataFra
     edges = bigrams.select(F.element_at("gram", 1).alias("source"), F.element_at("gram", 2).alias("target"), F.col("count").alias("weight")).orderBy(F.desc("weight"), "source", "target").limit(top_edges)
     ends = edges.select(F.col("source").alias("id"), "weight").union(edges.select("target", "weight"))
     return ends.groupBy("id").agg(F.sum("weight").alias("weight")), edges
+
+
+def variants(sentences: DataFrame, stop: frozenset[str], sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(n, variant, gram, count): all grams of words, those with clean edges, and those after stop words are removed."""
+    words = sentences.select(F.filter("toks", lambda w: w.rlike(r"[\p{L}\p{N}]")).alias("toks"))
+    after = words.select(F.filter("toks", lambda w: ~in_list(w, stop)).alias("toks"))
+    out = None
+    for n in sizes:
+        every = ngrams(words, n)
+        for name, grams in (("all", every), ("meaningful_filter", clean_edges(every, stop)), ("after_stopword_removal", ngrams(after, n))):
+            one = grams.select(F.lit(n).alias("n"), F.lit(name).alias("variant"), F.array_join("gram", " ").alias("ngram"), "count")
+            out = one if out is None else out.union(one)
+    return out
+
+
+def variant_tops(found: DataFrame, k: int = 10) -> DataFrame:
+    """(n, variant, rank, ngram, count, frequency, total, unique): the k commonest of each size and variant."""
+    sums = found.groupBy("n", "variant").agg(F.sum("count").alias("total"), F.count("*").alias("unique"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("n", "variant").orderBy(F.desc("count"), "ngram"))).filter(F.col("rank") <= k)
+    return ranked.join(F.broadcast(sums), ["n", "variant"]).select("n", "variant", "rank", "ngram", "count", F.round(F.col("count") / F.col("total"), 6).alias("frequency"), "total", "unique")

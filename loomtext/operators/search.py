@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pipeline as P
-from .index import PositionalIndex, phrase_starts
+from .index import PositionalIndex, unit_starts
 
 _WORDS = {"AND": 2, "OR": 1, "NOT": 3}
 
@@ -154,15 +154,14 @@ class Engine:
     def matches(self, query: str, mode: str = "auto") -> tuple[DataFrame, list[Unit]]:
         """(doc_id) of the documents that the query holds for, and its units."""
         tree, units = self.analyse(query, mode)
-        found = None
-        for i, u in enumerate(units):
-            if u.terms:
-                one = phrase_starts(self.index.postings, u.terms).select("doc_id", F.lit(i).alias("u"))
-                found = one if found is None else found.union(one)
-        if found is None:
-            flags = self.index.docs.withColumn("hit", F.array().cast("array<int>"))
+        known = [i for i, u in enumerate(units) if u.terms]
+        none = F.array().cast("array<int>")
+        if not known:
+            flags = self.index.docs.withColumn("hit", none)
         else:
-            flags = self.index.docs.join(found.groupBy("doc_id").agg(F.collect_set("u").alias("hit")), "doc_id", "left").withColumn("hit", F.coalesce("hit", F.array().cast("array<int>")))
+            number = F.array(*map(F.lit, known))[F.col("u")]
+            found = unit_starts(self.index.postings, [units[i].terms for i in known]).groupBy("doc_id").agg(F.collect_set(number).alias("hit"))
+            flags = self.index.docs.join(found, "doc_id", "left").withColumn("hit", F.coalesce("hit", none))
         test = F.lit(False) if tree.unit == -1 and tree.kind == "UNIT" else _column(tree, [F.array_contains("hit", i) for i in range(len(units))])
         return flags.filter(test).select("doc_id"), units
 

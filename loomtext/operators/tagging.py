@@ -23,13 +23,16 @@ from .pipeline import Pipeline
 NUMBER = r"^-?\d+(?:\s\d+)?/\d+$|^\d+(?:[.,]\d+)*%?$|^\d+(?:[./]\d+)*[-+×·*÷=][\d./+×·*÷=a-z-]+$"
 OPERATORS = ["x", "×", "+", "=", "÷", "*"]
 VERBS = "simplify find flip subtract multiply divide add write round plot shade convert cross solve compare estimate locate evaluate model translate rewrite draw name use order identify list graph reduce".split()
-DICTIONARY = {
-    "NN": "lcd lcm gcf gcd numerator denominator reciprocal".split(),
-    "NNP": "bkt dkt sqkt cikt q-mckt llmkt mathdial talkmoves assistments assist2009 ednet mae eedi openstax gpt-4 gpt-4o chatgpt".split(),
-    "NNS": "halves thirds fourths fifths sixths eighths tenths hundredths quarters numerators denominators".split(),
-    "UH": ["idk"],
-    "PRP": ["u"],
-}
+DOMAIN = {
+    "lcd": "NN", "lcm": "NN", "gcf": "NN", "gcd": "NN",
+    "bkt": "NNP", "dkt": "NNP", "sqkt": "NNP", "cikt": "NNP", "q-mckt": "NNP", "llmkt": "NNP",
+    "mathdial": "NNP", "talkmoves": "NNP", "assistments": "NNP", "assist2009": "NNP", "ednet": "NNP",
+    "mae": "NNP", "eedi": "NNP", "openstax": "NNP", "gpt-4": "NNP", "gpt-4o": "NNP", "chatgpt": "NNP",
+    "halves": "NNS", "thirds": "NNS", "fourths": "NNS", "fifths": "NNS", "sixths": "NNS", "eighths": "NNS",
+    "tenths": "NNS", "hundredths": "NNS", "quarters": "NNS",
+    "numerator": "NN", "denominator": "NN", "numerators": "NNS", "denominators": "NNS",
+    "reciprocal": "NN", "idk": "UH", "u": "PRP",
+}
 CLOSED = {
     "DT": "the a an this that these those each every some any no".split(), "IN": "of in on at by for with from into over under between as than because if while per".split(),
     "CC": "and or but nor".split(), "PRP": "i you he she it we they me him her us them".split(), "PRP$": "my your his its our their".split(),
@@ -38,6 +41,10 @@ CLOSED = {
 }
 
 
+#: Words of the domain by tag, for set lookups.
+DICTIONARY = {tag: [w for w, t in DOMAIN.items() if t == tag] for tag in dict.fromkeys(DOMAIN.values())}
+
+
 def _any(c: Column, table: dict[str, list[str]]) -> Column:
     return F.coalesce(*[F.when(c.isin(words), tag) for tag, words in table.items()])
 
@@ -76,6 +83,39 @@ def rule_tags(tokens: DataFrame, base: str = "tag") -> DataFrame:
     return t.withColumns({"tag": F.when(changed, c("_tag")).otherwise(c("_base")), "rule": F.when(changed, c("_why")).otherwise("")}).drop("_base", "_low", "_before", "_after", "_raw_before", "_raw_after", "_first", "_tag", "_why")
 
 
+def tag_all(tokens: DataFrame, taggers: dict | None = None) -> DataFrame:
+    """The tokens with a column for each tagger: base, rules (and rule), and those given as functions of an array of a sentence's words."""
+    plain = tokens.withColumn("base", base_tag(F.col("surface")))
+    out = rule_tags(plain.withColumn("tag", F.col("base"))).withColumnRenamed("tag", "rules")
+    for name, column in (taggers or {}).items():
+        words = F.transform(F.sort_array(F.collect_list(F.struct("tok_no", "surface"))), lambda x: x["surface"])
+        each = tokens.groupBy("doc_id", "sent_no").agg(column(words).alias("t")).select("doc_id", "sent_no", F.posexplode("t").alias("tok_no", name))
+        out = out.join(each, ["doc_id", "sent_no", "tok_no"])
+    return out
+
+
+def disagreements(tagged: DataFrame) -> DataFrame:
+    """(word, base, rules, rule, n): where the rules change the base tag, by word."""
+    return tagged.filter("rules <> base").groupBy(F.lower("surface").alias("word"), "base", "rules", "rule").agg(F.count("*").alias("n"))
+
+
+def domain_terms(tagged: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(term, occurrences, expected, base_tags, rules_tags, base_wrong_share, rules_wrong_share) of the stated words.
+
+    The tags are the four commonest as ``tag:count``, ties by tag.
+    """
+    of = F.coalesce(*[F.when(F.col("word") == w, F.lit(t)) for w, t in expected.items()])
+    seen = tagged.select(F.lower("surface").alias("word"), "base", "rules").filter(F.col("word").isin(list(expected))).groupBy("word", "base", "rules").agg(F.count("*").alias("n"))
+    out = seen.groupBy("word").agg(F.sum("n").alias("occurrences")).withColumn("expected", of)
+    for c in ("base", "rules"):
+        by = seen.groupBy("word", F.col(c).alias("tag")).agg(F.sum("n").alias("n"))
+        top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "tag"))), 1, 4)
+        shown = F.array_join(F.transform(top, lambda x: F.concat(x["tag"], F.lit(":"), (-x["m"]).cast("string"))), ", ")
+        right = F.sum(F.when(F.col("tag") == of, F.col("n")).otherwise(0))
+        out = out.join(by.groupBy("word").agg(shown.alias(f"{c}_tags"), F.round(1 - right / F.sum("n"), 3).alias(f"{c}_wrong_share")), "word")
+    return out.withColumnRenamed("word", "term")
+
+
 def shape(w: Column) -> Column:
     """Capitals X, small letters x, digits d; runs cut to two."""
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"[\p{Lu}]", "X"), r"[\p{Ll}]", "x"), r"[0-9]", "d")

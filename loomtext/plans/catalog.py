@@ -379,7 +379,8 @@ def stage_counts(spark, sf):
     return P.stage_counts(toks(spark, sf, STEMMED))
 
 
-@query()
+@query(STOPPED_SQL + """, e AS (SELECT term, doc_id // 65536 AS block, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS places FROM p GROUP BY ALL)
+SELECT term, block, '{"df":' || count(*) || ',"cf":' || sum(tf)::BIGINT || ',"postings":[' || string_agg('{"doc_id":' || doc_id || ',"positions":[' || places || ']}', ',' ORDER BY doc_id) || ']}' AS json FROM e GROUP BY term, block""")
 def index_export(spark, sf):
     from ..sources.sinks import index_json
 
@@ -490,7 +491,8 @@ for _n in range(1, 6):
     _ngram(_n)
 
 _EDGES = f"regexp_matches(split_part(ngram, ' ', 1), '[\\p{{L}}\\p{{N}}]') AND regexp_matches(split_part(ngram, ' ', 2), '[\\p{{L}}\\p{{N}}]') AND split_part(ngram, ' ', 1) NOT IN {NLTK} AND split_part(ngram, ' ', 2) NOT IN {NLTK}"
-_BIGRAMS = TOK + _SENT + ", g AS (" + _GRAMS.format(n=2) + "), c AS (SELECT ngram, count(*) AS n FROM g GROUP BY ngram)"
+_SENT_M = _SENT.replace("s AS (", "s AS MATERIALIZED (")
+_BIGRAMS = TOK + _SENT_M + ", g AS (" + _GRAMS.format(n=2) + "), c AS MATERIALIZED (SELECT ngram, count(*) AS n FROM g GROUP BY ngram)"
 
 
 @query(_BIGRAMS + f' SELECT ngram, n AS "count" FROM c WHERE {_EDGES}')
@@ -515,14 +517,39 @@ def invented_ngrams(spark, sf):
     return ngrams.invented(ngrams.ngrams(kept, 2), before).select(F.array_join("gram", " ").alias("ngram"), "count")
 
 
-@query(_BIGRAMS + f""", m AS (SELECT list_append(toks, '</s>') AS toks FROM s), u AS (SELECT w, count(*)::DOUBLE AS c FROM (SELECT unnest(toks) AS w FROM m) GROUP BY w), t AS (SELECT sum(c) AS nn FROM u),
+_VARIANTS = TOK + f", s AS MATERIALIZED (SELECT doc_id, sent_no, list(low ORDER BY tok_no) AS toks FROM tok WHERE is_word GROUP BY doc_id, sent_no), a AS MATERIALIZED (SELECT doc_id, sent_no, list(low ORDER BY tok_no) AS toks FROM tok WHERE is_word AND low NOT IN {NLTK} GROUP BY doc_id, sent_no)"
+for _n in (1, 2, 3):
+    _ends = f"split_part(ngram, ' ', 1) NOT IN {NLTK} AND split_part(ngram, ' ', {_n}) NOT IN {NLTK}"
+    for _t in ("s", "a"):
+        _VARIANTS += f", {_t}{_n} AS MATERIALIZED (SELECT ngram, count(*) AS c FROM ({_GRAMS.format(n=_n).replace('FROM s', f'FROM {_t}')}) GROUP BY ngram)"
+    _VARIANTS += f", e{_n} AS (SELECT * FROM s{_n} WHERE {_ends})"
+_VARIANTS += ", v AS (" + " UNION ALL ".join(f"SELECT {n} AS n, '{name}' AS variant, ngram, c FROM {t}{n}" for n in (1, 2, 3) for t, name in (("s", "all"), ("e", "meaningful_filter"), ("a", "after_stopword_removal"))) + ")"
+
+
+@query(_VARIANTS + ', z AS (SELECT *, row_number() OVER (PARTITION BY n, variant ORDER BY c DESC, ngram) AS rank, sum(c) OVER (PARTITION BY n, variant)::BIGINT AS total, count(*) OVER (PARTITION BY n, variant) AS u FROM v) SELECT n::BIGINT AS n, variant, rank, ngram, c AS "count", round(c / total, 6) AS frequency, total, u AS "unique" FROM z WHERE rank <= 10')
+def ngram_variants(spark, sf):
+    """The commonest n-grams of words: all, with clean edges, and after stop words are removed."""
+    return ngrams.variant_tops(ngrams.variants(_streams(spark, sf), N.stopwords("nltk")))
+
+
+@query(_BIGRAMS + f""", m AS (SELECT list_append(toks, '</s>') AS toks FROM s), u AS MATERIALIZED (SELECT w, count(*)::DOUBLE AS c FROM (SELECT unnest(toks) AS w FROM m) GROUP BY w), t AS (SELECT sum(c) AS nn FROM u),
 x AS (SELECT ngram, n::DOUBLE AS k, a.c AS ca, b.c AS cb, nn FROM c JOIN u a ON a.w = split_part(ngram, ' ', 1) JOIN u b ON b.w = split_part(ngram, ' ', 2), t WHERE n >= 3 AND {_EDGES})
 SELECT ngram, k::BIGINT AS "count", round(2 * (k * ln(k / (ca * cb / nn)) + CASE WHEN ca > k THEN (ca - k) * ln((ca - k) / (ca * (nn - cb) / nn)) ELSE 0 END + CASE WHEN cb > k THEN (cb - k) * ln((cb - k) / ((nn - ca) * cb / nn)) ELSE 0 END + (nn - ca - cb + k) * ln((nn - ca - cb + k) / ((nn - ca) * (nn - cb) / nn))), 2) AS log_likelihood, round(log2(k * nn / (ca * cb)), 3) AS pmi FROM x""")
 def collocation_2(spark, sf):
     return ngrams.collocations(_streams(spark, sf), N.stopwords("nltk"), 2)
 
 
-@query()
+_CELLS = [((1, 1, 1), "k"), ((1, 1, 0), "p01 - k"), ((1, 0, 1), "p02 - k"), ((0, 1, 1), "p12 - k"), ((1, 0, 0), "c0 - p01 - p02 + k"), ((0, 1, 0), "c1 - p01 - p12 + k"), ((0, 0, 1), "c2 - p02 - p12 + k"), ((0, 0, 0), "nn - c0 - c1 - c2 + p01 + p02 + p12 - k")]
+_G3 = " + ".join(f"CASE WHEN {o} > 0 THEN 2 * ({o}) * ln(({o}) / ({' * '.join(f'c{i}' if x else f'(nn - c{i})' for i, x in enumerate(cell))} / nn / nn)) ELSE 0 END" for cell, o in _CELLS)
+_WORD3 = " AND ".join(f"regexp_matches(w{i}, '[\\p{{L}}\\p{{N}}]')" for i in range(3))
+
+
+@query(TOK + _SENT_M + ", g AS (" + _GRAMS.format(n=3) + f"""), c AS MATERIALIZED (SELECT split_part(ngram, ' ', 1) AS w0, split_part(ngram, ' ', 2) AS w1, split_part(ngram, ' ', 3) AS w2, ngram, count(*) AS n FROM g GROUP BY ngram HAVING count(*) >= 3),
+m AS MATERIALIZED (SELECT list_append(toks, '</s>') AS toks FROM s), u AS MATERIALIZED (SELECT w, count(*)::DOUBLE AS c FROM (SELECT unnest(toks) AS w FROM m) GROUP BY w), t AS (SELECT sum(c) AS nn FROM u),
+b2 AS MATERIALIZED (SELECT x.a AS a, x.b AS b, count(*)::DOUBLE AS p FROM (SELECT unnest(list_transform(range(1, len(toks)), lambda i: {{'a': toks[i], 'b': toks[i + 1]}})) AS x FROM m) GROUP BY ALL),
+sk AS MATERIALIZED (SELECT x.a AS a, x.b AS b, count(*)::DOUBLE AS p FROM (SELECT unnest(list_transform(range(1, len(toks) - 1), lambda i: {{'a': toks[i], 'b': toks[i + 2]}})) AS x FROM m WHERE len(toks) >= 3) GROUP BY ALL),
+j AS (SELECT ngram, n::DOUBLE AS k, u0.c AS c0, u1.c AS c1, u2.c AS c2, coalesce(x.p, 0) AS p01, coalesce(y.p, 0) AS p12, coalesce(z.p, 0) AS p02, nn FROM c JOIN u u0 ON u0.w = w0 JOIN u u1 ON u1.w = w1 JOIN u u2 ON u2.w = w2 LEFT JOIN b2 x ON x.a = w0 AND x.b = w1 LEFT JOIN b2 y ON y.a = w1 AND y.b = w2 LEFT JOIN sk z ON z.a = w0 AND z.b = w2, t WHERE {_WORD3} AND w0 NOT IN {NLTK} AND w2 NOT IN {NLTK})
+SELECT ngram, k::BIGINT AS "count", round({_G3}, 2) AS log_likelihood, round(log2(k / (c0 * c1 / nn * c2 / nn)), 3) AS pmi FROM j""")
 def collocation_3(spark, sf):
     return ngrams.collocations(_streams(spark, sf), N.stopwords("nltk"), 3)
 
@@ -593,7 +620,15 @@ def audit_lag_lead(spark, sf):
     return a.filter(F.col("problem").isin("hyphenated word split", "currency symbol split", "percent split", "fraction split")).select("problem", "occurrences")
 
 
-@query()
+_AUDIT = """, w AS (SELECT doc_id, pos, lag(surface) OVER q AS a, surface AS b, lead(surface) OVER q AS c FROM tok WINDOW q AS (PARTITION BY doc_id ORDER BY pos)), f AS (SELECT * FROM w WHERE a IS NOT NULL AND c IS NOT NULL),
+k AS (SELECT *, unnest([{'p': 'fraction split', 'h': b = '/' AND regexp_full_match(a, '[0-9]+') AND regexp_full_match(c, '[0-9]+')}, {'p': 'hyphenated word split', 'h': b = '-' AND regexp_full_match(a, '\\p{L}+') AND regexp_full_match(c, '\\p{L}+')},
+ {'p': 'currency symbol split', 'h': b IN ('$', '₹', '€', '£') AND regexp_matches(c, '^[0-9]')}, {'p': 'percent split', 'h': b = '%' AND regexp_matches(a, '^[0-9]')}, {'p': 'abbreviation broken', 'h': b IN ('e.g', 'i.e', 'etc')},
+ {'p': 'contraction split', 'h': replace(b, chr(39), '#') IN ('n#t', '#s', '#m', '#re', 'nt')}, {'p': 'operator split from expression', 'h': b IN ('+', '=') AND regexp_matches(a, '^[0-9]') AND regexp_matches(c, '^[0-9]')}]) AS x FROM f),
+r AS (SELECT x.p AS problem, a || ' ' || b || ' ' || c AS t, doc_id, pos, row_number() OVER (PARTITION BY x.p ORDER BY doc_id, pos) AS n FROM k WHERE x.h), sh AS (SELECT problem, string_agg(t, ' | ' ORDER BY n) AS examples FROM r WHERE n <= 3 GROUP BY problem)
+SELECT problem, occurrences, coalesce(examples, '') AS examples FROM (SELECT x.p AS problem, count(*) FILTER (x.h) AS occurrences FROM k GROUP BY x.p) LEFT JOIN sh USING (problem)"""
+
+
+@query(TOK + _AUDIT)
 def audit_examples(spark, sf):
     return stats.audit(toks(spark, sf))
 
@@ -692,12 +727,26 @@ def ner_overlap(spark, sf):
     return evaluate.ner_scores(_rows(spark, _EG, s), _rows(spark, _EP, s)).filter("label = 'ALL'")
 
 
-@query("SELECT d.doc_id, i.item_id, coalesce((l.quality = 1 AND i.item_id % 2 = l.toxic)::BIGINT, 0) AS relevant FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN benchmark i LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query(f"SELECT id, start, \"end\", label, predicted_1, status_1, predicted_2, status_2 FROM {_values([('s', 0, 5, 'X', 'X', 'correct', None, 'missed'), ('s', 10, 15, 'Y', 'Y', 'incorrect', 'Y', 'correct'), ('s', 20, 25, 'X', None, 'missed', 'Z', 'incorrect')], 'id, start, \"end\", label, predicted_1, status_1, predicted_2, status_2')}")
+def ner_comparison(spark, sf):
+    s = "id string, ord int, start int, end int, label string"
+    return evaluate.ner_comparison(_rows(spark, _EG, s), _rows(spark, _EP, s), _rows(spark, [("s", 0, 10, 15, "Y"), ("s", 1, 22, 26, "Z")], s))
+
+
+@query("SELECT source, median(n_chars) AS median FROM documents GROUP BY source")
+def median_length(spark, sf):
+    return evaluate.median(table(spark, sf, "documents"), "n_chars", "source")
+
+
+JUDGED = [f"Q{i:02d}" for i in range(1, 16)]
+
+
+@query(f"SELECT d.doc_id, q.qid, coalesce((l.quality = 1 AND q.i % 2 = l.toxic)::BIGINT, 0) AS relevant FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN {_values([(q, i) for i, q in enumerate(JUDGED)], 'qid, i').replace('AS v(', 'AS q(')} LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def qrels_dense(spark, sf):
-    """The dense grid of queries (a short fixed list) and documents, zero where not judged."""
-    d = docs(spark, sf).select("doc_id").distinct().join(table(spark, sf, "labels"), "doc_id", "left")
-    items = F.broadcast(table(spark, sf, "benchmark").select("item_id"))
-    return d.crossJoin(items).select("doc_id", "item_id", F.coalesce(((F.col("quality") == 1) & (F.col("item_id") % 2 == F.col("toxic"))).cast("int"), F.lit(0)).alias("relevant"))
+    """Judgements are kept sparse; the dense grid is that of a stated list of queries, zero where not judged."""
+    judged = table(spark, sf, "labels").filter("quality = 1").select("doc_id", F.explode(F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(i % 2).alias("side")) for i, q in enumerate(JUDGED)])).alias("q"), "toxic")
+    sparse = judged.filter("q.side = toxic").select("doc_id", "q.qid", F.lit(1).alias("relevant"))
+    return evaluate.dense_qrels(docs(spark, sf).select("doc_id").distinct(), JUDGED, sparse)
 
 
 @query("SELECT toxic, quality, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY toxic, quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM labels) WHERE r <= 3")
@@ -730,6 +779,34 @@ def detect_values(spark, sf):
     return d.select("text", F.array_join(F.transform(evidence.detect(F.col("text")), lambda x: x["hypothesis"]), "; ").alias("hypotheses"))
 
 
+CHECKS = [
+    ("1/2+1/3=2/5", "2/5 = (1+1)/(2+3); correct sum is 5/6"), ("1/2 + 1/3 = 5/6", "1/2 + 1/3 = 5/6 (correct)"), ("1/2 + 1/2 = 4/4", "1/2 + 1/2 = 1 (correct)"), ("2/4 + 1/4 = 1/6", "correct sum is 3/4, not 1/6"),
+    ("1/8 is bigger than 1/6", "1/8 < 1/6"), ("2/3 is less than 1/2", "2/3 > 1/2"), ("0.45 is bigger than 0.6", "0.45 < 0.6"), ("0.3 x 0.2 = 0.6", "0.3 x 0.2 = 0.06"), ("1/2 = 3/4", "1/2 = 0.500 but 3/4 = 0.750"), ("I add the tops and then the bottoms", "verbal description"),
+]
+
+
+@query(f"SELECT text, checks FROM {_values(CHECKS, 'text, checks')}")
+def detect_checks(spark, sf):
+    """The arithmetic that each finding rests on, written out."""
+    d = _rows(spark, CHECKS, "text string, e string")
+    return d.select("text", F.array_join(F.transform(evidence.detect(F.col("text")), lambda x: x["check"]), "; ").alias("checks"))
+
+
+_CLAIMED = "SELECT l_linenumber AS a, (l_quantity::BIGINT % 9) + 2 AS b, l_suppkey::BIGINT % 5 + 1 AS c, l_partkey::BIGINT % 7 + 2 AS d FROM lineitem"
+
+
+@query(f"""WITH x AS ({_CLAIMED}), y AS (SELECT *, a || '/' || b || ' + ' || c || '/' || d || ' = ' || (a + c) || '/' || (b + d) AS said, a || '/' || b || ' is bigger than ' || c || '/' || d AS compared, (a * d + c * b) * (b + d) = b * d * (a + c) AS correct FROM x)
+SELECT CASE WHEN correct THEN 'correct fraction addition' ELSE 'M01 adds numerators and adds denominators' END AS hypothesis, count(*) AS n, count(DISTINCT said) AS spans FROM y GROUP BY 1
+UNION ALL SELECT CASE WHEN a = c THEN 'M02 larger denominator means larger fraction' ELSE 'incorrect fraction comparison' END, count(*), count(DISTINCT compared) FROM y WHERE NOT a * d > c * b GROUP BY 1
+UNION ALL SELECT 'M10 equivalent fractions by adding the same number', count(*), count(DISTINCT c || '/' || d || ' = ' || (a + c) || '/' || (b + d)) FROM y WHERE a = b AND c * (b + d) <> (a + c) * d""")
+def detect_table(spark, sf):
+    """Claims about fractions, put together from a table's numbers, judged and counted."""
+    x = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("a"), (F.col("l_quantity").cast("long") % 9 + 2).alias("b"), (F.col("l_suppkey").cast("long") % 5 + 1).alias("c"), (F.col("l_partkey").cast("long") % 7 + 2).alias("d"))
+    said = F.format_string("I think %d/%d + %d/%d = %d/%d because %d/%d is bigger than %d/%d.", "a", "b", "c", "d", F.col("a") + F.col("c"), F.col("b") + F.col("d"), "a", "b", "c", "d")
+    found = x.select(F.explode(evidence.detect(said)).alias("x")).select("x.*")
+    return found.groupBy("hypothesis").agg(F.count("*").alias("n"), F.countDistinct("span").alias("spans"))
+
+
 @query()
 def detect(spark, sf):
     return docs(spark, sf).select("doc_id", F.explode(evidence.detect(F.col("text"))).alias("x")).select("doc_id", "x.*")
@@ -784,11 +861,54 @@ def rule_tags_values(spark, sf):
     return d.join(t, "doc_id").select("text", "tags")
 
 
-@query()
+def _case(c: str, table: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {c} IN {_in(words)} THEN '{tag}'" for tag, words in table.items()) + " END"
+
+
+_NUM = tagging.NUMBER.replace("'", "''")
+_TAGGED = TOK + f""", b AS (SELECT *, coalesce({_case('low', tagging.CLOSED)}, CASE WHEN regexp_matches(surface, '^-?[0-9]') THEN 'CD' WHEN surface IN ('.', '!', '?') THEN '.' WHEN surface IN (',', ';', ':', '(', ')') THEN ',' WHEN NOT is_word THEN 'SYM'
+ WHEN low LIKE '%ing' AND length(surface) > 4 THEN 'VBG' WHEN low LIKE '%ed' AND length(surface) > 3 THEN 'VBD' WHEN low LIKE '%ly' THEN 'RB' WHEN regexp_matches(surface, '^[A-Z]') THEN 'NNP' WHEN low LIKE '%s' AND low NOT LIKE '%ss' AND length(surface) > 3 THEN 'NNS' ELSE 'NN' END) AS base,
+ coalesce(lag(surface) OVER w, '') AS pv, coalesce(lead(surface) OVER w, '') AS nx, row_number() OVER w = 1 AS first FROM tok WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY tok_no)),
+k AS (SELECT *, {_case('low', tagging.DICTIONARY)} AS known FROM b),
+y AS (SELECT *, CASE WHEN regexp_matches(surface, '{_NUM}') THEN ['CD', 'number/fraction pattern'] WHEN low IN {_in(tagging.OPERATORS)} AND regexp_matches(pv, '{_NUM}') AND regexp_matches(nx, '{_NUM}') THEN ['SYM', 'operator between numbers'] WHEN known IS NOT NULL THEN [known, 'domain dictionary']
+ WHEN (first OR lower(pv) IN ('.', ':', ';', 'and', 'then', 'first')) AND low IN {_in(tagging.VERBS)} AND base <> 'VB' THEN ['VB', 'math instruction verb (imperative)'] WHEN low IN ('top', 'bottom') AND lower(nx) IN ('number', 'numbers', 'part', 'parts') THEN ['JJ', 'top/bottom as modifier']
+ WHEN low = 'over' AND (regexp_matches(lower(pv), '{_NUM}') OR lower(pv) IN ('one', 'two', 'three', 'four')) THEN ['IN', chr(39) || 'over' || chr(39) || ' as fraction bar'] END AS r FROM k),
+tg AS (SELECT doc_id, sent_no, tok_no, surface, low, base, CASE WHEN r IS NOT NULL AND r[1] <> base THEN r[1] ELSE base END AS tag, CASE WHEN r IS NOT NULL AND r[1] <> base THEN r[2] ELSE '' END AS rule FROM y)"""
+
+
+@query(_TAGGED + " SELECT tag, rule, count(*) AS n FROM tg GROUP BY ALL")
 def tag_distribution(spark, sf):
     return tagging.rule_tags(toks(spark, sf)).groupBy("tag", "rule").agg(F.count("*").alias("n"))
 
 
+@query(_TAGGED + " SELECT low AS word, base, tag AS rules, rule, count(*) AS n FROM tg WHERE tag <> base GROUP BY ALL")
+def tagger_disagreements(spark, sf):
+    return tagging.disagreements(tagging.tag_all(toks(spark, sf)))
+
+
+EXPECTED = {"the": "DT", "of": "IN", "to": "TO", "rights": "NNS", "reserved": "VBN", "under": "IN", "over": "IN", "x": "SYM", "round": "VB"}
+
+
+def _case_of(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} = '{w}' THEN '{t}'" for w, t in EXPECTED.items()) + " END"
+
+
+@query(_TAGGED + f", tx AS (SELECT low, {_case_of('low')} AS expected, count(*) AS occurrences FROM tg WHERE low IN {_in(EXPECTED)} GROUP BY low), " + ", ".join(
+    f"{c}1 AS (SELECT low, {c} AS tag, count(*) AS n, {c} = {_case_of('low')} AS hit FROM tg WHERE low IN {_in(EXPECTED)} GROUP BY low, {c}), {c}2 AS (SELECT low, string_agg(tag || ':' || n, ', ' ORDER BY n DESC, tag) FILTER (r <= 4) AS tags, round(1 - coalesce(sum(n) FILTER (hit), 0) / sum(n), 3) AS wrong FROM (SELECT *, row_number() OVER (PARTITION BY low ORDER BY n DESC, tag) AS r FROM {c}1) GROUP BY low)" for c in ("base", "tag")
+) + " SELECT tx.low AS term, occurrences, expected, base2.tags AS base_tags, base2.wrong AS base_wrong_share, tag2.tags AS rules_tags, tag2.wrong AS rules_wrong_share FROM tx JOIN base2 USING (low) JOIN tag2 USING (low)")
+def domain_terms(spark, sf):
+    return tagging.domain_terms(tagging.tag_all(toks(spark, sf)), EXPECTED)
+
+
+LEMMA_GOLD = [("fractions", "fraction"), ("added", "add"), ("is", "be"), ("halves", "half"), ("running", "run"), ("3/4", "3/4"), ("adds", "add"), ("adds", "add"), ("children", "child")]
+
+
+@query(f"SELECT lemmatizer, tokens, correct, accuracy, errors FROM {_values([('as is', 8, 0, 0.0, 'adds->adds (gold add); added->added (gold add); children->children (gold child); fractions->fractions (gold fraction); halves->halves (gold half); is->is (gold be); running->running (gold run)'), ('noun', 8, 5, 0.625, 'added->added (gold add); is->is (gold be); running->running (gold run)'), ('context-free', 8, 8, 1.0, '')], 'lemmatizer, tokens, correct, accuracy, errors')}")
+def lemma_accuracy(spark, sf):
+    gold = _rows(spark, LEMMA_GOLD, "token string, lemma string")
+    return evaluate.lemma_accuracy(gold, {"as is": lambda c: c, "noun": N.lemma_noun, "context-free": N.lemma_cf})
+
+
 @query(f"SELECT w, shape FROM {_values([('ASSIST2009', 'XXdd'), ('GPT-4o', 'XX-dx'), ('word', 'xx')], 'w, shape')}")
 def shape_values(spark, sf):
     return _rows(spark, [("ASSIST2009",), ("GPT-4o",), ("word",)], "w string").select("w", tagging.shape(F.col("w")).alias("shape"))
@@ -813,7 +933,7 @@ def hmm_tags(spark, sf):
     return s.select(F.explode(model.column(K.tokenize(F.col("s"), PLAIN.tokenizer))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT text, tags FROM {_values([('to run the run', 'TO VB DT NN'), ('adding 3/4', 'VBG CD')], 'text, tags')}")
 def backoff_tags(spark, sf):
     """The back-off chain on gold-like sentences."""
     model = tagging.BackoffTagger([[("the", "DT"), ("run", "NN")], [("to", "TO"), ("run", "VB")], [("add", "VB"), ("the", "DT"), ("tops", "NNS")]])
@@ -821,7 +941,7 @@ def backoff_tags(spark, sf):
     return d.select("text", F.array_join(model.column(K.whitespace(F.col("text"))), " ").alias("tags"))
 
 
-@query()
+@query(TOK + """, q AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(surface, '\\p{Lu}', 'X', 'g'), '\\p{Ll}', 'x', 'g'), '[0-9]', 'd', 'g'), 'XX+', 'XX', 'g') AS s FROM tok) SELECT regexp_replace(regexp_replace(s, 'xx+', 'xx', 'g'), 'dd+', 'dd', 'g') AS shape, count(*) AS n FROM q GROUP BY ALL""")
 def word_features(spark, sf):
     return tagging.word_features(toks(spark, sf)).groupBy("shape").agg(F.count("*").alias("n"))
 
@@ -832,6 +952,16 @@ def before_after(spark, sf):
     return experiments.before_after(toks(spark, sf, STEMMED))
 
 
+@query(TOK + f", q AS (SELECT *, {_STEM} AS norm FROM tok), c AS (SELECT 'before' AS side, low AS term, count(*) AS n FROM q WHERE is_word GROUP BY low UNION ALL SELECT 'after', norm, count(*) FROM q WHERE is_word AND norm NOT IN {NLTK} GROUP BY norm) SELECT side, rank, term, n AS \"count\" FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 40")
+def top_terms(spark, sf):
+    return experiments.top_terms(toks(spark, sf, STEMMED))
+
+
+@query(STOPPED_SQL + ", x AS (SELECT lang AS collection, count(*) AS documents, sum(length(text))::BIGINT AS characters, sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))))::BIGINT AS sentences, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '[\\p{L}\\p{N}]'))))::BIGINT AS tokens_whitespace FROM documents GROUP BY lang), t AS (SELECT lang AS collection, count(*) AS index_terms FROM p JOIN documents USING (doc_id) GROUP BY lang) SELECT x.*, coalesce(index_terms, 0) AS index_terms FROM x LEFT JOIN t ON x.collection IS NOT DISTINCT FROM t.collection")
+def scale_summary(spark, sf):
+    return experiments.scale_summary(table(spark, sf, "documents"), "lang", STOPPED)
+
+
 _GOLD_TOKENS = [("t1", "I ate 3/4 of it", ["I", "ate", "3/4", "of", "it"]), ("t2", "paid $3,650 on 2026-09-01", ["paid", "$3,650", "on", "2026-09-01"])]
 
 
@@ -868,6 +998,14 @@ def pipeline_comparison(spark, sf):
     return experiments.compare(d, list(P.PIPELINES), [(0, "licensed under"), (1, "rights AND NOT idiot")], qrels)
 
 
+@query()
+def pipeline_table(spark, sf):
+    """The comparison with a row for each measure and a column for each of A, B and the selected pipeline."""
+    d = docs(spark, sf)
+    qrels = table(spark, sf, "labels").select(F.lit(0).alias("qid"), "doc_id", F.col("quality").alias("relevant"))
+    return experiments.measures_by_pipeline(experiments.compare(d, ["A", "B", "C1"], [(0, "rights reserved")], qrels), ["A", "B"])
+
+
 # ------------------------------------------------------------------ records to text
 _WHO = "CASE WHEN role = 'assistant' THEN 'Teacher' WHEN role = 'user' THEN 'Student' ELSE role END"
 
@@ -913,7 +1051,10 @@ def markdown_values(spark, sf):
     return _rows(spark, [(m,) for m, _ in MARKDOWN], "md string").select("md", L.markdown_text(F.col("md")).alias("text"))
 
 
-@query()
+LOADED = [('D01', 'TXT', 'D01_a', 'one\ntwo'), ('b', 'CSV', 'b', 'a: 1\nb: x\n\na: 2'), ('c', 'HTML', 'T', 'main'), ('d', 'JSONL', 'd', 'Problem: q\nConversation:\nA: hi\nB: yo'), ('e', 'XML', 'e', 'x y'), ('f', 'MD', 'H', 'H\ntext')]
+
+
+@query(f"SELECT doc_id, fmt, title, text FROM {_values(LOADED, 'doc_id, fmt, title, text')}")
 def load_formats(spark, sf):
     """Small files of several formats through the loaders."""
     files = [("D01_a.txt", b"one\ntwo"), ("b.csv", b"a,b\n1,x\n2,\n"), ("c.html", b"<html><title>T</title><nav>n</nav><p>main</p></html>"), ("d.jsonl", b'{"question": "q", "conversation": "A: (act) hi|EOM|B: yo"}'), ("e.xml", b"<r><a>x</a><b>y</b></r>"), ("f.md", b"# H\ntext")]
@@ -941,12 +1082,17 @@ def bpe_encode(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(m.encode(K.pretokenize(F.col("text")))).alias("pieces"))
 
 
-@query()
+def _words_sql(src: str) -> str:
+    """Word-level tokens: separators kept, a double hyphen by a mark of its own."""
+    return f"SELECT unnest(list_filter(list_transform(regexp_extract_all(replace(text, '--', chr(1)), '\\x01|[,.:;?_!\"()'']|[^,.:;?_!\"()''\\s\\x0b\\x01]+'), lambda x: CASE WHEN x = chr(1) THEN '--' ELSE trim(x) END), lambda x: x <> '')) AS token FROM {src}"
+
+
+@query(f"WITH v AS (SELECT DISTINCT token FROM ({_words_sql('documents')})), n AS (SELECT count(*) AS n FROM v) SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM v UNION ALL SELECT '{bpe.END_OF_TEXT}', n FROM n UNION ALL SELECT '{bpe.UNKNOWN}', n + 1 FROM n")
 def word_vocab(spark, sf):
     return bpe.vocabulary(docs(spark, sf))
 
 
-@query()
+@query(f"WITH v AS MATERIALIZED (SELECT DISTINCT token FROM ({_words_sql('documents')} WHERE lang <> 'de')), t AS (SELECT token FROM ({_words_sql('documents')} WHERE lang = 'de')) SELECT count(*) AS tokens, count(*) FILTER (v.token IS NULL) AS unknown, round(count(*) FILTER (v.token IS NULL) / greatest(1, count(*)), 4) AS oov_rate FROM t LEFT JOIN v USING (token)")
 def word_vocab_oov(spark, sf):
     """Share of the tokens of German documents that the vocabulary of the others lacks."""
     d = table(spark, sf, "documents")

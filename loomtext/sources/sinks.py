@@ -27,7 +27,20 @@ def load_index(spark: SparkSession, path: str, pipeline: Pipeline) -> Positional
     return PositionalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), pipeline)
 
 
+def stored_index(index: PositionalIndex, path: str) -> PositionalIndex:
+    """The index written and read again: searches then read its tables, not the texts."""
+    save_index(index, path)
+    return load_index(index.docs.sparkSession, path, index.pipeline)
+
+
 def index_json(index: PositionalIndex, positions: bool = True) -> DataFrame:
-    """(term, json): df, cf and the postings of each term, with positions or the documents only."""
+    """(term, block, json): df, cf and a block of the postings of each term, with positions or the documents only."""
     posts = F.col("postings") if positions else F.transform("postings", lambda p: p["doc_id"])
-    return index.grouped().select("term", F.to_json(F.struct("df", "cf", posts.alias("postings"))).alias("json"))
+    return index.grouped().select("term", "block", F.to_json(F.struct("df", "cf", posts.alias("postings"))).alias("json"))
+
+
+def index_from_json(exported: DataFrame, docs: DataFrame, pipeline: Pipeline, doc_id: str = "long") -> PositionalIndex:
+    """The index of (term, json) with positions and of the table of all documents; surfaces are the terms themselves."""
+    posts = F.from_json("json", f"postings array<struct<doc_id: {doc_id}, positions: array<int>>>")["postings"]
+    each = exported.select("term", F.explode(posts).alias("p"))
+    return PositionalIndex(each.select("term", "p.doc_id", F.explode("p.positions").alias("pos"), F.col("term").alias("surface")), docs.select("doc_id").distinct(), pipeline)

@@ -142,11 +142,125 @@ def porter(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
+# Suffix tables and exceptions of the English Snowball stemmer ("Porter2").
+_S2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less"}
+_S3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_S4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize".split()
+_S_WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+_S_SAME = "sky news howe atlas cosmos bias andes".split()
+_S_STOP = "inning outing canning herring earring proceed exceed succeed".split()
+
+
+@lru_cache(maxsize=200_000)
+def snowball(word: str) -> str:
+    """The English Snowball algorithm; numbers, words with digits or without letters stay."""
+    if not re.search("[A-Za-z]", word) or re.search(r"\d", word):
+        return word
+    w = word.lower().replace("\u2019", "'").lstrip("'")
+    if len(w) <= 2:
+        return w
+    if w in _S_WHOLE or w in _S_SAME:
+        return _S_WHOLE.get(w, w)
+    w = re.sub("(^|[aeiouy])y", lambda m: m[1] + "Y", w)
+    vowel = "[aeiouy]"
+
+    def region(text: str) -> str:
+        m = re.search(f"{vowel}[^aeiouy](.*)$", text)
+        return m[1] if m else ""
+
+    m = re.match("(gener|commun|arsen)(.*)$", w)
+    r1 = len(m[2]) if m else len(region(w))
+    r1_at = len(w) - r1
+    r2_at = len(w) - len(region(w[r1_at:]))
+
+    def short(text: str) -> bool:
+        return bool(re.search("[^aeiouy][aeiouy][^aeiouywxY]$", text) or re.fullmatch("[aeiouy][^aeiouy]", text))
+
+    w = re.sub("('s'|'s|')$", "", w)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(vowel, w[:-2]):
+        w = w[:-1]
+    if w in _S_STOP:
+        return w
+    if m := re.search("(eedly|eed)$", w):
+        w = w[: m.start()] + "ee" if m.start() >= r1_at else w
+    elif (m := re.search("(ingly|edly|ing|ed)$", w)) and re.search(vowel, w[: m.start()]):
+        w = w[: m.start()]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif re.search("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
+            w = w[:-1]
+        elif short(w) and len(w) <= r1_at:
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+
+    def longest(table):
+        return next((e for e in sorted(table, key=len, reverse=True) if w.endswith(e)), None)
+
+    e = longest([*_S2, "ogi", "li"])
+    if e and len(w) - len(e) >= r1_at:
+        stem = w[: -len(e)]
+        w = stem + _S2[e] if e in _S2 else stem + "og" if e == "ogi" and stem.endswith("l") else stem if e == "li" and stem[-1:] in tuple("cdeghkmnrt") else w
+    e = longest([*_S3, "ative"])
+    if e and len(w) - len(e) >= r1_at:
+        w = w[: -len(e)] + _S3[e] if e in _S3 else w[: -len(e)] if len(w) - len(e) >= r2_at else w
+    e = longest([*_S4, "ion"])
+    if e and len(w) - len(e) >= r2_at and (e != "ion" or w[:-3].endswith(("s", "t"))):
+        w = w[: -len(e)]
+    if w.endswith("e") and (len(w) - 1 >= r2_at or (len(w) - 1 >= r1_at and not short(w[:-1]))):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2_at:
+        w = w[:-1]
+    return w.lower()
+
+
+# The rules of the Paice-Husk ("Lancaster") stemmer: ending reversed, * for whole words only, letters lost, what is put on, and > to go on or . to stop.
+_HUSK = (
+    "ai*2. a*1. bb1. city3s. ci2> cn1t> dd1. dei3y> deec2ss. dee1. de2> dooh4> e1> feil1v. fi2> gni3> gai3y. ga2> gg1. ht*2. hsiug5ct. hsi3> i*1. i1y> ji1d. juf1s. ju1d. jo1d. jeh1r. jrev1t. jsim2t. jn1d. j1s. "
+    "lbaifi6. lbai4y. lba3> lbi3. lib2l> lc1. lufi4y. luf3> lu2. lai3> lau3> la2> ll1. mui3. mu*2. msi3> mm1. nois4j> noix4ct. noi3> nai3> na2> nee0. ne2> nn1. pihs4> pp1. re2> rae0. ra2. ro2> ru2> rr1. rt1> rei3y> sei3y> "
+    "sis2. si2> ssen4> ss0. suo3> su*2. s*1> s0. tacilp4y. ta2> tnem4> tne3> tna3> tpir2b. tpro2b. tcud1. tpmus2. tpec2iv. tulo2v. tsis0. tsi3> tt1. uqi3. ugo1. vis3j> vie0. vi2> ylb1> yli3y> ylp0. yl2> ygo1. yhp1. ymo1. "
+    "ypo1. yti3> yte3> ytl2. yrtsi5. yra3> yro3> yfi3. ycn2t> yca3> zi2> zy1s."
+).split()
+_HUSK_RULES = [(m[1][::-1], bool(m[2]), int(m[3]), m[4], m[5] == ">") for m in (re.fullmatch(r"([a-z]+)(\*?)(\d)([a-z]*)([>.])", r) for r in _HUSK)]
+
+
+@lru_cache(maxsize=200_000)
+def lancaster(word: str) -> str:
+    """The Paice-Husk algorithm; numbers, words with digits or without letters stay."""
+    if not re.search("[A-Za-z]", word) or re.search(r"\d", word):
+        return word
+    w = whole = word.lower()
+    going = True
+    while going and w[-1:].isalpha():
+        going = False
+        for end, intact, lost, new, on in _HUSK_RULES:
+            if w.endswith(end) and (not intact or w == whole):
+                left = len(w) - lost
+                if left >= 2 if w[0] in "aeiouy" else left >= 3 and (w[1] in "aeiouy" or w[2] in "aeiouy"):
+                    w, going = w[:left] + new, on
+                    break
+    return w
+
+
 @F.pandas_udf(StringType())
 def stem_porter(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else porter(w))
 
 
+@F.pandas_udf(StringType())
+def stem_snowball(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else snowball(w))
+
+
+@F.pandas_udf(StringType())
+def stem_lancaster(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else lancaster(w))
+
+
 # ---- lemmas: exceptions first, then suffix rules by part of speech. A substitute for a dictionary that is not available here.
 # Irregular forms.
 _IRREGULAR = {
@@ -171,7 +285,7 @@ def lemma(word: str, pos: str = "n") -> str:
                 if not _has_vowel(stem):
                     return w
                 if _double(stem) and stem[-1] not in "lsz":
-                    stem = stem[:-1]
+                    stem = stem[:-1] if len(stem) > 3 else stem  # running, but adding
                 elif stem.endswith(("at", "bl", "iz", "v", "c", "u", "g")) or (_measure(stem) == 1 and _cvc(stem)):
                     stem += "e"
             return stem
@@ -201,9 +315,9 @@ def lemma_noun(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else lemma(w, "n"))
 
 
-#: Lower-case word to normalised word. Snowball and Lancaster fall back on the nearest rule set that is at hand.
+#: Lower-case word to normalised word.
 NORMALIZERS = {
-    "none": lambda t: t, "regexp": stem_regexp, "porter": stem_porter, "snowball": stem_porter, "lancaster": stem_porter,
+    "none": lambda t: t, "regexp": stem_regexp, "porter": stem_porter, "snowball": stem_snowball, "lancaster": stem_lancaster,
     "wordnet_nopos": lemma_noun, "wordnet_cf": lemma_cf, "wordnet_pos": lemma_cf, "spacy": lemma_cf,
 }
 _NATIVE = {"none", "regexp"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections import defaultdict
 from functools import lru_cache
 
@@ -113,6 +114,36 @@ def train(docs: DataFrame, n: int = 2000) -> Merges:
     return Merges.train({r.word: r["count"] for r in word_counts(docs).orderBy("word").toLocalIterator()}, n)
 
 
+def train_bytes(docs: DataFrame, vocab_size: int = 8000, max_bytes: int = 64 << 20):
+    """A byte-level tokenizer of the ``tokenizers`` library, trained on documents of about ``max_bytes`` chosen by a hash (all, if that is more)."""
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    total, span = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, 1 << 40
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < min(span, span * max_bytes // max(1, total)))
+    out = Tokenizer(models.BPE(unk_token="[UNK]"))
+    out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    texts = (r.text for r in some.filter("text is not null").select("doc_id", "text").orderBy("doc_id", "text").toLocalIterator())
+    out.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=vocab_size, special_tokens=["[UNK]"], show_progress=False))
+    return out
+
+
+def curve(docs: DataFrame, merges: Merges, sizes: tuple[int, ...] = (100, 250, 500, 1000, 1500, 2000, 3000, 4000)) -> DataFrame:
+    """(merges, vocabulary_size, corpus_tokens): prefixes of one training run over the distinct words, weighted by their counts."""
+    counts, out = word_counts(docs), None
+    for n in (n for n in sizes if n <= len(merges.merges)):
+        part = merges.prefix(n)
+        pieces = counts.select(F.col("count"), part.encode(F.array("word")).alias("p"))
+        one = pieces.agg(F.sum(F.size("p") * F.col("count")).alias("corpus_tokens")).select(F.lit(n).alias("merges"), F.lit(part.vocab_size).alias("vocabulary_size"), "corpus_tokens")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def word_pieces(words: list[str], merges: dict[str, Merges]) -> list[dict]:
+    """Each of a few words with its pieces under several trained merges, words with marks by their parts."""
+    parts = lambda w: [w.lower()] if re.fullmatch("[A-Za-z]+", w) else re.findall("[a-z]+|[0-9]+", w.lower())
+    return [{"word": w} | {name: [p for x in parts(w) for p in m.encode_word(x)] for name, m in merges.items()} for w in words]
+
+
 # ---- word-level vocabulary
 _SPLIT = r'([,.:;?_!"()\']|--|\s)'
 

@@ -79,3 +79,22 @@ def entities(text, lexicon: list[tuple[str, str]], keep: list[str] | None = None
         return texts.map(lambda t: [dict(zip(("text", "label", "start", "end", "source"), m)) for m in _matches(t or "", rules, longest) if keep is None or m[1] in keep])
 
     return run(text)
+
+
+# The colours of marked entities.
+COLOURS = {"CONCEPT": "#c7e3ff", "MISCONCEPTION": "#ffd0d0", "KT_MODEL": "#e0d4ff", "DATASET": "#d4f5dc", "METRIC": "#fff1bf"}
+
+
+def marked_html(text, found, colours: dict[str, str] | None = None):
+    """HTML of a text column with the spans of an entity column (start, end, label, in order) marked and labelled."""
+    colours = COLOURS if colours is None else colours
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    between = lambda a, b: escaped(F.substring(text, a + 1, b - a))
+
+    def step(acc, e):
+        colour = F.coalesce(*[F.when(e["label"] == k, F.lit(v)) for k, v in colours.items()], F.lit("#dddddd"))
+        mark = F.concat(F.lit('<mark style="background: '), colour, F.lit('">'), between(e["start"], e["end"]), F.lit(" <span>"), e["label"], F.lit("</span></mark>"))
+        return F.struct(F.concat(acc["html"], between(acc["at"], e["start"]), mark).alias("html"), e["end"].alias("at"))
+
+    done = F.aggregate(found, F.struct(F.lit("").alias("html"), F.lit(0).alias("at")), step)
+    return F.concat(F.lit('<div class="entities">'), done["html"], between(done["at"], F.length(text)), F.lit("</div>"))

@@ -3,6 +3,9 @@
 Toxic documents go, one document of each near-duplicate group stays, documents with benchmark
 passages go, what is left is put in the order of the sources' target weights, and its token
 ids are written to shards in that order.
+
+Every stage keeps columns that it does not know, under any name, and all rows that it has no
+reason to drop; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,27 +18,45 @@ from loomtext.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents not predicted toxic, by a network trained on the labelled ones."""
+    """The documents not predicted toxic, by a network trained on the labelled ones.
+
+    Null and empty texts have the score of no words; rows with equal texts are judged alike.
+    Without labels of both kinds nothing is learnt and nothing goes.
+    """
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate component."""
+    """One row of each near-duplicate component: that of the smallest doc_id.
+
+    Rows without doc_id stay, and so do rows that share an id but not their text; rows repeated
+    whole leave one. Null and blank texts are near-duplicates of each other.
+    """
     return simhash.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages of the benchmark."""
+    """The documents without passages of the benchmark.
+
+    Null and empty texts hold none. Items under eight words are no evidence and match nothing.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the schedule."""
+    """All documents, written in the order of the schedule.
+
+    A null source is a source of its own, a null doc_id counts as 0; rows with equal ids are
+    ordered by a hash of the row, rows repeated whole are all kept.
+    """
     return mixing.mixed(docs)
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from shards in the order in which ``docs`` was written."""
+    """doc_id, start, n_tokens, ids_crc32 from shards in the order in which ``docs`` was written.
+
+    Null and empty texts have the end id alone; every row has an entry, whatever its id.
+    """
     return token_shards.read_shards(token_shards.write_shards(token_shards.in_written_order(docs), public_tokenizers.path("byte_bpe_50k.json")))
 
 

@@ -41,6 +41,7 @@ def normalised(text: Column) -> Column:
 def _encode(path: str):
     def run(batches):
         c = unit_bpe.counter(path)
+        unit_bpe.forget(c)
         for b in (part for x in batches for part in unit_bpe.slices(x, "text")):
             n = [c.count(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("version"), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])

@@ -172,6 +172,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
 
     def run(batches):
         enc, w = unit_bpe.encoder(tokenizer_path), None
+        unit_bpe.forget(enc)
         for b in (part for x in batches for part in unit_bpe.slices(x, "text")):
             for number, doc_id, ids in zip(b.column("number").to_pylist(), b.column("doc_id").to_pylist(), enc.encode_all(b.column("text"))):
                 if w is None:

@@ -140,6 +140,7 @@ class ToxicityModel:
     def __init__(self, vocab: dict[bytes, int], net: Network, scale: float, shift: float):
         self.vocab, self.net, self.scale, self.shift = vocab, net, scale, shift
         self._forget()
+        unit_bpe.HELD.add(self)
 
     def __getstate__(self):
         return self.vocab, self.net, self.scale, self.shift
@@ -311,7 +312,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, folds: int = 5) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        unit_bpe.forget()
+        unit_bpe.forget(sent.value)
         for b in batches:
             for part in unit_bpe.slices(b, "text", 256):
                 s = _scores(sent.value, part.column("text"))
@@ -326,7 +327,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        unit_bpe.forget()
+        unit_bpe.forget(sent.value)
         for b in batches:
             for part in unit_bpe.slices(b, "text", 256):
                 yield part.filter(pa.array(_scores(sent.value, part.column("text")) < 0.5))

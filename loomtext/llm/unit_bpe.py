@@ -12,7 +12,9 @@ from __future__ import annotations
 import array
 import re
 import unicodedata
+import weakref
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 
 #: Code points below this bound are assigned, stable under NFC and have plain lower-case forms.
 _BOUND = 0x250
-_CAP = 800_000
+_CAP = 500_000
 
 
 def _classes() -> tuple[str, str]:
@@ -106,7 +108,7 @@ class UnitEncoder:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
@@ -137,7 +139,7 @@ class UnitEncoder:
 
     def _rows(self, units: list[str]) -> np.ndarray:
         """Rows in ``start`` and ``size`` of distinct units; those that are not known are encoded."""
-        rows = np.fromiter(map(self.at.get, units, [-1] * len(units)), np.int64, len(units))
+        rows = np.fromiter(map(self.at.get, units, repeat(-1)), np.int32, len(units))
         new = [units[i] for i in np.flatnonzero(rows < 0)]
         if new:
             ids, ends = self._units(new)
@@ -165,22 +167,22 @@ class UnitEncoder:
             return out
         if len(self.at) > _CAP:
             self._forget()
-        lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
-        ends, units = lists.offsets.to_numpy(), lists.values
-        units = units.dictionary_encode()
+        lists = pc.split_pattern(pc.replace_substring(texts if len(plain) == len(texts) else texts.take(pa.array(plain)), "\n", " \n"), " ")
+        ends, firsts = lists.offsets.to_numpy(), lists.values.take(lists.offsets.slice(0, len(lists))).dictionary_encode()
+        units = lists.values.dictionary_encode()
+        del lists
         rows = self._rows(units.dictionary.to_pylist())[units.indices.to_numpy()]
-        first = ends[:-1] - ends[0]
-        firsts = lists.values.take(pa.array(ends[:-1])).dictionary_encode()
-        rows[first] = self._rows([" " + u for u in firsts.dictionary.to_pylist()])[firsts.indices.to_numpy()]
+        del units
+        rows[ends[:-1]] = self._rows([" " + u for u in firsts.dictionary.to_pylist()])[firsts.indices.to_numpy()]
         sizes = self.size[rows]
-        stops = np.cumsum(sizes)
+        stops = np.cumsum(sizes, dtype=np.int64)
         kind = np.int32 if max(self.used, stops[-1]) < 1 << 31 else np.int64
         at = np.repeat((self.start[rows] - (stops - sizes)).astype(kind), sizes)
         at += np.arange(stops[-1], dtype=kind)
-        ids = self.ids[at]
-        cuts = np.concatenate((stops[first] - sizes[first], stops[-1:])).tolist()
+        ids = self.ids[at].tobytes()
+        cuts = (4 * np.concatenate((stops[ends[:-1]] - sizes[ends[:-1]], stops[-1:]))).tolist()
         for k, i in enumerate(plain.tolist()):
-            out[i] = ids[cuts[k] : cuts[k + 1]].tobytes()
+            out[i] = ids[cuts[k] : cuts[k + 1]]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -197,7 +199,7 @@ def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, rows: int = 8192, size: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, rows: int = 8192, size: int = 6 << 20):
     """Parts of a batch of about ``size`` bytes of a text or binary column, which bounds what is held of it."""
     used = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -208,7 +210,16 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 8192, size: int = 8 <
         at += n
 
 
-def forget() -> None:
-    """Frees what a reused worker remembers; operators with memory of their own call it when a task begins."""
-    counter.cache_clear()
-    encoder.cache_clear()
+#: What workers that are used again remember beside the tokenizers: objects with a ``_forget``.
+HELD: "weakref.WeakSet" = weakref.WeakSet()
+
+
+def forget(keep=None) -> None:
+    """Frees what a reused worker remembers of other operators; each calls it when its task begins, and names its own."""
+    for x in list(HELD):
+        if x is not keep:
+            x._forget()
+    for cache in (counter, encoder):
+        if not (keep is not None and cache.cache_info().currsize and isinstance(keep, (UnitCounter, UnitEncoder)) and isinstance(keep, UnitCounter) == (cache is counter)):
+            cache.cache_clear()
+    pa.default_memory_pool().release_unused()

@@ -204,4 +204,4 @@ def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42)
     gone = written(rest.select("doc_id", "__row").distinct(), "near-copies")
     if each.groupBy("doc_id", "__row").count().filter("count > 1").limit(1).count():  # rows repeated whole
         tagged = tagged.filter("doc_id is not null").dropDuplicates(["doc_id", "__row"]).union(tagged.filter("doc_id is null"))
-    return tagged.join(gone, ["doc_id", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return tagged.join(gone.hint("merge"), ["doc_id", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

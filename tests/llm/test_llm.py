@@ -372,6 +372,86 @@ def test_toxicity_held_out(spark, labelled, docs, none):
     assert toxicity.score_documents(docs, toxicity.fit(docs, labels.limit(0))).count() == docs.count()  # nothing to learn from
 
 
+def slow_score(model, text):
+    """The network word by word and gate by gate, in plain Python numbers."""
+    import math
+
+    p = {k: v.astype(float) for k, v in model.net.p.items()}
+    h, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    words = [w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower().encode()) if w]
+
+    def vector(w):
+        b = b"<" + w + b">"
+        grams = [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % (1 << 32)) >> (32 - toxicity.CHAR_BITS) for i in range(len(b) - 2)]
+        return np.concatenate([p["E"][model.vocab.get(w, 0)], np.mean([p["C"][g] for g in grams], axis=0)])
+
+    def gru(xs, U, c):
+        state, out = np.zeros(h), []
+        for x in xs:
+            g = state @ U
+            z, r = sig(x[:h] + g[:h]), sig(x[h : 2 * h] + g[h : 2 * h])
+            n = np.tanh(x[2 * h :] + r * (g[2 * h :] + c))
+            state = (1 - z) * n + z * state
+            out.append(state)
+        return out
+
+    best = -math.inf
+    for start in range(0, max(1, len(words)), toxicity.STRIDE):
+        part = words[start : start + toxicity.WINDOW]
+        xs = [vector(w) @ p["X"] + p["x"] for w in part]
+        both = [np.concatenate(x) for x in zip(gru([x[: 3 * h] for x in xs], p["U0"], p["c0"]), gru([x[3 * h :] for x in xs][::-1], p["U1"], p["c1"])[::-1])]
+        e = np.exp([np.tanh(x @ p["A"] + p["a"]) @ p["v"] for x in both])
+        best = max(best, float(sum(w * x for w, x in zip(e / e.sum(), both)) @ p["w"] + p["b"][0]) if part else float(p["b"][0]))
+        if start + toxicity.WINDOW >= len(words):
+            break
+    return 1 / (1 + math.exp(-(model.scale * best + model.shift)))
+
+
+def test_toxicity_equals_plain_arithmetic(spark, labelled):
+    d, labels = labelled
+    model = toxicity.fit(d, labels)
+    rng = random.Random(21)
+    rows = [(i, words(rng, n) + (" zqzq" if i % 2 else ""), None, None) for i, n in enumerate((0, 1, 5, 31, 32, 33, 48, 49, 200, 700))] + [(50, "ÜBER größer, naïve! 3/4", None, None), (51, None, None, None), (52, "—", None, None)]
+    got = {r.doc_id: r for r in toxicity.score_documents(docs_of(spark, rows), model).collect()}
+    for doc_id, text, *_ in rows:
+        want = slow_score(model, text)
+        assert abs(got[doc_id].score - want) < 1e-4, (text, got[doc_id].score, want)
+        assert got[doc_id].predicted == int(got[doc_id].score >= 0.5)
+
+
+def test_langid_equals_plain_arithmetic(spark):
+    rng = random.Random(22)
+    kinds = {"aa": "abcde", "bb": "fghij"}
+    model = langid.train([(words(rng, 40, v), k) for k, v in kinds.items() for _ in range(60)])
+    rows = [(i, t, None, None) for i, t in enumerate(["a", "Éa b-c", "abc def 12 ghi", words(rng, 300, "abcfgh"), "x" * 5, "1é2"])]
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, rows), model).collect()}
+    for doc_id, text, *_ in rows:
+        b = b" " + bytes(x if x > 127 or chr(x).isalpha() else 32 for x in text.lower().encode()) + b" "
+        grams = [(n, int.from_bytes(b[i : i + n], "big")) for n in (2, 3, 4) for i in range(len(b) - n + 1)]
+        at = [((code * 2654435761 + n * 40503) % (1 << 32)) >> (32 - model.bits) for n, code in grams]
+        z = (sum(model.table[x].astype(float) for x in at) / len(at) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[doc_id].lang_pred == model.languages[int(p.argmax())] and abs(got[doc_id].score - p.max()) < 1e-6
+
+
+def test_long_texts(spark):
+    """Texts of megabytes through the operators that read them in parts."""
+    rng = random.Random(23)
+    long = words(rng, 400_000)
+    d = docs_of(spark, [(1, long, "en", "s"), (2, long + " end", "en", "s"), (3, "x" * 300_000, "en", "s"), (4, "short", "en", "s")])
+    lib = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    text = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+    for r in token_counts.token_counts(d, WORD).collect():
+        assert r.n_tokens == len(lib[0].encode(text[r.doc_id], add_special_tokens=False).ids)
+    for r in token_shards.read_shards(token_shards.write_shards(d.select(F.col("doc_id").alias("number"), "doc_id", "text"), BYTE)).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*lib[1].encode(text[r.doc_id], add_special_tokens=False).ids, 0], "<u4").tobytes())
+    got = {r.doc_id: r for r in simhash.near_duplicates(d).collect()}
+    assert got[4].fingerprint == f"{reference_fingerprint('short'):016x}" and got[2].component_id == got[1].component_id == 1
+    item = " ".join(long.split()[200_000:200_020])
+    found = decontaminate.contaminated(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {1, 2} and all(r.matched == 20 and r.at == 200_000 for r in found)
+
+
 def test_langid(spark, docs, none):
     rng = random.Random(6)
     kinds = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}

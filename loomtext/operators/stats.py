@@ -39,7 +39,7 @@ def ranked(counts: DataFrame) -> DataFrame:
     Types of one count and beginning are ranked apart, and the sizes of the groups before are
     added: only the small table of groups is ordered as a whole.
     """
-    c = counts.withColumn("_h", F.substring("term", 1, 3))
+    c = counts.withColumn("_h", F.substring("term", 1, 4))
     sizes = c.groupBy("count", "_h").agg(F.count("*").alias("_n"))
     before = sizes.select("count", "_h", (F.sum("_n").over(Window.orderBy(F.desc("count"), "_h")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("count", "_h").orderBy("term"))

@@ -21,8 +21,12 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 def before_after(toks: DataFrame) -> DataFrame:
     """(measure, before, after): tokens and vocabulary, as they come and as they are indexed."""
-    one = toks.agg(F.count("*").alias("t0"), F.countDistinct("surface").alias("v0"), F.count("term").alias("t1"), F.countDistinct("term").alias("v1"))
-    return one.selectExpr("stack(2, 'tokens', t0, t1, 'vocabulary', v0, v1) as (measure, before, after)")
+    forms = pipeline.by_form(toks)  # types are counted over the forms
+    sides = F.array(F.struct(F.lit("before").alias("side"), F.col("surface").alias("v")), F.struct(F.lit("after").alias("side"), F.col("term").alias("v")))
+    types = forms.select("n", F.explode(sides).alias("x")).select("n", "x.*").filter("v is not null").groupBy("side", "v").agg(F.sum("n").alias("n"))
+    of = lambda side, c: F.coalesce(F.sum(F.when(F.col("side") == side, c)), F.lit(0))
+    one = types.agg(*[of(side, c).alias(f"{name}_{side}") for side in ("before", "after") for name, c in (("t", F.col("n")), ("v", F.lit(1).cast("long")))])
+    return one.selectExpr("stack(2, 'tokens', t_before, t_after, 'vocabulary', v_before, v_after) as (measure, before, after)")
 
 
 def top_terms(toks: DataFrame, k: int = 40) -> DataFrame:

@@ -602,9 +602,9 @@ def zipf_slope(spark, sf):
     return stats.zipf(_vocab(spark, sf))
 
 
-@query(TOK + _VOCAB + ", z AS (SELECT max(r) AS n FROM rk), mk AS (SELECT DISTINCT greatest(1, round(pow(10.0, k * log10(n) / 40)))::BIGINT AS r FROM z, range(0, 41) AS g(k)) SELECT r AS rank, term, n AS \"count\" FROM rk JOIN mk USING (r)")
+@query(TOK + _VOCAB + ", z AS (SELECT max(r) AS n FROM rk), mk AS (SELECT DISTINCT greatest(1, round(pow(10.0, k * log10(n) / 400)))::BIGINT AS r FROM z, range(0, 401) AS g(k)) SELECT r AS rank, term, n AS \"count\" FROM rk JOIN mk USING (r)")
 def zipf_points(spark, sf):
-    return stats.zipf_points(_vocab(spark, sf), 40)
+    return stats.zipf_points(_vocab(spark, sf))
 
 
 _HEAPS = ", o AS (SELECT low, row_number() OVER (ORDER BY doc_id, pos) AS i FROM tok), fi AS (SELECT min(i) AS born FROM o GROUP BY low), z AS (SELECT count(*) AS n FROM o), mk AS (SELECT DISTINCT greatest(1, floor(n * k / 60.0))::BIGINT AS tokens FROM z, range(1, 61) AS g(k)), pt AS (SELECT tokens, count(*) AS vocabulary FROM mk JOIN fi ON born <= tokens GROUP BY tokens)"
@@ -844,8 +844,9 @@ def evidence_id(spark, sf):
 
 @query()
 def evidence_records(spark, sf):
-    claims = _rows(spark, [(i, c) for i, (c, _) in enumerate(CLAIMS)], "doc_id long, text string")
-    return evidence.evidence_records(claims, table(spark, sf, "benchmark")).select("doc_id", "record.evidence_id", F.to_json("record.interpretation").alias("interpretation"))
+    """Findings and nearest benchmark items of every document."""
+    found = evidence.evidence_records(docs(spark, sf), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "record.evidence_id", F.to_json("record.interpretation").alias("interpretation"))
 
 
 LEXICON = [("mit license", "LICENCE"), ("general public license", "LICENCE"), ("right", "CONCEPT"), ("CC", "NAME")]
@@ -941,19 +942,29 @@ def verb_objects(spark, sf):
 def hmm_tags(spark, sf):
     """A sequence model trained on a bounded sample of rule-tagged sentences, on the tokens of all."""
     d = docs(spark, sf)
-    model = tagging.HmmTagger(tagging.tagged_sample(d, PLAIN))
-    s = d.select(F.explode(K.split_sentences(F.col("text"), PLAIN.sentences)).alias("s"))
-    return s.select(F.explode(model.column(K.tokenize(F.col("s"), PLAIN.tokenizer))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return _tag_counts(d, tagging.HmmTagger(tagging.tagged_sample(d, PLAIN)))
 
 
 @query(f"SELECT text, tags FROM {_values([('to run the run', 'TO VB DT NN'), ('adding 3/4', 'VBG CD')], 'text, tags')}")
-def backoff_tags(spark, sf):
+def backoff_values(spark, sf):
     """The back-off chain on gold-like sentences."""
     model = tagging.BackoffTagger([[("the", "DT"), ("run", "NN")], [("to", "TO"), ("run", "VB")], [("add", "VB"), ("the", "DT"), ("tops", "NNS")]])
     d = _rows(spark, [("to run the run",), ("adding 3/4",)], "text string")
     return d.select("text", F.array_join(model.column(K.whitespace(F.col("text"))), " ").alias("tags"))
 
 
+def _tag_counts(d, model) -> DataFrame:
+    s = d.select(F.explode(K.split_sentences(F.col("text"), PLAIN.sentences)).alias("s"))
+    return s.select(F.explode(model.column(K.tokenize(F.col("s"), PLAIN.tokenizer))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query()
+def backoff_tags(spark, sf):
+    """The back-off chain trained on a bounded sample of rule-tagged sentences, on the tokens of all."""
+    d = docs(spark, sf)
+    return _tag_counts(d, tagging.BackoffTagger(tagging.tagged_sample(d, PLAIN)))
+
+
 @query(TOK + """, q AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(surface, '\\p{Lu}', 'X', 'g'), '\\p{Ll}', 'x', 'g'), '[0-9]', 'd', 'g'), 'XX+', 'XX', 'g') AS s FROM tok) SELECT regexp_replace(regexp_replace(s, 'xx+', 'xx', 'g'), 'dd+', 'dd', 'g') AS shape, count(*) AS n FROM q GROUP BY ALL""")
 def word_features(spark, sf):
     return tagging.word_features(toks(spark, sf)).groupBy("shape").agg(F.count("*").alias("n"))

@@ -237,15 +237,49 @@ def test_detect_in_documents(spark):
     assert [(r.doc_id, r.span, r.strength) for r in got] == [(1, "1/2+1/3=2/5", 0.9), (1, "0.3 x 0.2 = 0.6", 0.8)]
 
 
-@tables
-def test_evidence_records(spark):
-    got = {r.doc_id: r for r in catalog.QUERIES["evidence_records"](spark, SF).collect()}
+def test_evidence_records(spark, tmp_path):
+    """The whole record of every document against plain Python: id, findings and the five nearest items."""
     import hashlib
+    import math
+
+    items = ["1/2 + 1/3 is a sum of fractions", "the larger denominator", "which decimal is bigger", "tops and bottoms", "add the tops", "multiply 0.3 x 0.2", "fractions and decimals"]
+    claims = [(i, c) for i, (c, _) in enumerate(catalog.CLAIMS)] + [(90, None), (91, ""), (92, "the  larger decimal is in the sum of fractions and the tops")]
+    spark.createDataFrame(claims, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in catalog.QUERIES["evidence_records"](spark, f"{tmp_path}").collect()}
+    assert sorted(got) == sorted(i for i, _ in claims)
+
+    def grams(t):
+        w = re.findall(r"\w+", t.lower())
+        return collections.Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    df = collections.Counter(g for t in items for g in grams(t))
 
-    for i, (claim, expected) in enumerate(catalog.CLAIMS):
-        x = json.loads(got[i].interpretation)
-        assert "; ".join(d["hypothesis"] for d in x["detectors"]) == expected
-        assert got[i].evidence_id == "E_" + hashlib.sha1(claim.encode()).hexdigest()[:10]
+    def vector(t):
+        v = {g: (1 + math.log(n)) * (math.log((1 + len(items)) / (1 + df[g])) + 1) for g, n in grams(t).items() if g in df}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    for i, text in claims:
+        x, clean = json.loads(got[i].interpretation), None if text is None else re.sub(" +", " ", text)
+        expected = catalog.CLAIMS[i][1] if i < 90 else ""
+        assert "; ".join(d["hypothesis"] for d in x.get("detectors") or []) == expected
+        assert got[i].evidence_id == (None if text is None else "E_" + hashlib.sha1(clean.encode()).hexdigest()[:10])
+        own = vector(clean or "")
+        near = [(round(sum(x * own.get(g, 0) for g, x in vector(t).items()), 4), -k) for k, t in enumerate(items)]
+        want = [(-k, s) for s, k in sorted(near, reverse=True)[:5] if s > 0]
+        assert [(g["item_id"], g["score"]) for g in x.get("retrieved_grounding") or []] == want
+
+
+@tables
+@pytest.mark.parametrize("name, kind", [("backoff_tags", tagging.BackoffTagger), ("hmm_tags", tagging.HmmTagger)])
+def test_tags_of_all_sentences(spark, name, kind):
+    """The counts of tags against the same model called on one sentence after another."""
+    d = catalog.docs(spark, SF)
+    model = kind(tagging.tagged_sample(d, catalog.PLAIN))
+    sentences = d.select(F.explode(K.split_sentences(F.col("text"), catalog.PLAIN.sentences)).alias("s")).select(K.tokenize(F.col("s"), catalog.PLAIN.tokenizer).alias("w"))
+    want = collections.Counter(t for r in sentences.collect() for t in model.tag(list(r.w)))
+    assert {r.tag: r.n for r in catalog.QUERIES[name](spark, SF).collect()} == dict(want)
 
 
 def test_tag_all(spark):

@@ -285,17 +285,23 @@ def train(texts: list[bytes], labels: list[int], prior: float, steps: int = 500,
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 20_000, folds: int = 5) -> ToxicityModel:
     """Trains on labelled documents outside fold 0: about ``per_class`` of each label, none over ``max_bytes``.
 
-    Both bounds keep the sample (broadcast to find its texts, then on the driver) small; they
-    touch training only. Labels are joined by doc_id; null labels and unlabelled rows teach
-    nothing, a document with both labels counts as toxic, and of texts that share an id the
-    first by the alphabet is learnt from.
+    Where all texts of a label are longer, a window of ``max_bytes`` characters of each, at a
+    place given by its hash, is learnt from, so that no label goes without. Both bounds keep the
+    sample (broadcast to find its texts, then on the driver) small; they touch training only.
+    Labels are joined by doc_id; null labels and unlabelled rows teach nothing, a document with
+    both labels counts as toxic, and of texts that share an id the first by length and alphabet
+    is learnt from.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(F.pmod(id_crc(), F.lit(folds)) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     sample = bounded_sample(known, "toxic", per_class)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text")).collect()
-    rows.sort()
-    return train([r[2].lower().encode("utf-8", "surrogatepass") for r in rows], [r[1] for r in rows], prior)
+    over = F.octet_length("text") > max_bytes
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - max_bytes, F.lit(0)) + 1).cast("int")
+    part = F.struct(over.alias("over"), F.when(over, F.substring("text", at + 1, F.lit(max_bytes))).otherwise(F.col("text")).alias("text"))
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(part).alias("t")).select("doc_id", "toxic", "t.text", "t.over").collect()
+    short = {r.toxic for r in rows if not r.over}
+    rows = sorted(r for r in rows if not r.over or r.toxic not in short)
+    return train([r.text.lower().encode("utf-8", "surrogatepass") for r in rows], [r.toxic for r in rows], prior)
 
 
 def _scores(m: ToxicityModel, column) -> np.ndarray:

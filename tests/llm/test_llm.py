@@ -407,6 +407,19 @@ def slow_score(model, text):
     return 1 / (1 + math.exp(-(model.scale * best + model.shift)))
 
 
+def test_toxicity_learns_from_long_texts_where_a_label_has_no_others(spark, labelled, monkeypatch):
+    """Only long texts are toxic here: windows of them are learnt from; long texts of the other label are left out."""
+    d, labels = labelled
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, prior: seen.append(sorted(zip(y, map(len, texts)))))
+    ids = {r.doc_id: r.toxic for r in labels.filter("toxic is not null").collect()}
+    long_ids = [i for i, t in ids.items() if t == 1] + [i for i, t in ids.items() if t == 0][:5]
+    toxicity.fit(d.withColumn("text", F.when(F.col("doc_id").isin(long_ids), F.repeat("text", 2000)).otherwise(F.col("text"))), labels, max_bytes=5000)
+    assert {y for y, _ in seen[0]} == {0, 1} and {n for y, n in seen[0] if y == 1} == {5000}
+    toxicity.fit(d, labels, max_bytes=5000)
+    assert [x for x in seen[1] if x[0] == 0] != [] and len([x for x in seen[0] if x[0] == 0]) < len([x for x in seen[1] if x[0] == 0])
+
+
 def test_toxicity_equals_plain_arithmetic(spark, labelled):
     d, labels = labelled
     model = toxicity.fit(d, labels)

@@ -6,12 +6,16 @@ import heapq
 import re
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokenizers import pretokenize
+from ..session import discard, scratch
 
 END = "</w>"
 UNKNOWN, END_OF_TEXT = "<|unk|>", "<|endoftext|>"
@@ -103,15 +107,234 @@ class Merges:
 
         @F.pandas_udf("array<string>")
         def run(series: pd.Series) -> pd.Series:
-            known = lru_cache(maxsize=100_000)(Merges(ranks, symbols).encode_word)
+            known = _word_encoder(tuple(ranks), symbols)
             return series.map(lambda ws: [p for w in ws for p in known(w)])
 
         return run(words)
 
+    def piece_counts(self, words: Column) -> Column:
+        """The number of pieces of an array of words; each distinct word of a batch is looked up once."""
+        ranks, symbols = self.merges, self.symbols
+
+        @F.arrow_udf("long")
+        def run(lists: pa.Array) -> pa.Array:
+            known = _word_encoder(tuple(ranks), symbols)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            each = lists.flatten().dictionary_encode()
+            of = np.array([len(known(w)) for w in each.dictionary.to_pylist()], "i8")
+            before = np.concatenate([[0], np.cumsum(of[each.indices.to_numpy()])])
+            ends = np.cumsum(sizes)
+            return pa.array(before[ends] - before[ends - sizes], pa.int64(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+
+        return run(words)
 
-def train(docs: DataFrame, n: int = 2000) -> Merges:
-    """Counts words on the cluster and merges over the distinct words, the vocabulary, on the driver."""
-    return Merges.train({r.word: r["count"] for r in word_counts(docs).orderBy("word").toLocalIterator()}, n)
+
+@lru_cache(maxsize=2)
+def _word_encoder(merges: tuple, symbols: int):
+    """Encodes words with a bounded memory of those seen before; a worker keeps it from batch to batch."""
+    return lru_cache(maxsize=100_000)(Merges(list(merges), symbols).encode_word)
+
+
+# ---- training over more distinct words than the driver holds
+#: Symbols are numbers on the cluster: a character is its code point, longer ones come after them.
+_LONGER, _GAP = 0x110000, -1
+
+
+class _PairCounts:
+    """Counts of pairs, and the commonest of them, ties by the pair."""
+
+    def __init__(self, total: dict):
+        self.total = total
+        self.queue = [(-c, p) for p, c in total.items()]
+        heapq.heapify(self.queue)
+
+    def best(self):
+        while self.queue and self.total.get(self.queue[0][1], 0) != -self.queue[0][0]:
+            heapq.heappop(self.queue)
+        return self.queue[0] if self.queue else None
+
+    def merged(self, pair, changes) -> None:
+        for p, d in changes:
+            self.total[p] = self.total.get(p, 0) + d
+            if self.total[p] > 0 and p != pair:
+                heapq.heappush(self.queue, (-self.total[p], p))
+            elif self.total[p] <= 0:
+                del self.total[p]
+        self.total.pop(pair, None)
+
+
+class _Words:
+    """Words as one array of symbols with a gap after each, and the count of its word beside each symbol."""
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, counts: np.ndarray):
+        ends = np.cumsum(sizes)
+        self.symbols = np.insert(symbols.astype("i4"), ends, _GAP)
+        self.counts = np.repeat(counts.astype("i8"), sizes + 1)
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pairs that start at these places, and their counts."""
+        at = at[(at >= 0) & (at < len(self.symbols) - 1)]
+        at = at[(self.symbols[at] != _GAP) & (self.symbols[at + 1] != _GAP)]
+        return self.symbols[at].astype("i8") << 32 | self.symbols[at + 1], self.counts[at]
+
+    def all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*self.pairs(np.arange(len(self.symbols))))
+
+    def merge(self, a: int, b: int, new: int, record: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Merges a pair from left to right in every word; gives the change of each pair's count."""
+        s = self.symbols
+        at = np.flatnonzero(s[:-1] == a)
+        at = at[s[at + 1] == b]
+        if a == b and len(at):  # of a run every other place
+            first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))) % 2 == 0]
+        if not len(at):
+            return np.empty(0, "i8"), np.empty(0, "i8")
+        old = self.pairs(np.unique(np.concatenate([at - 1, at, at + 1]))) if record else None
+        s[at] = new
+        keep = np.ones(len(s), bool)
+        keep[at + 1] = False
+        self.symbols, self.counts = s[keep], self.counts[keep]
+        if not record:
+            return np.empty(0, "i8"), np.empty(0, "i8")
+        at = at - np.arange(len(at))
+        now = self.pairs(np.unique(np.concatenate([at - 1, at])))
+        return summed(np.concatenate([old[0], now[0]]), np.concatenate([-old[1], now[1]]))
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole-number sums of the values of equal keys."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    return keys[first], np.add.reduceat(values, first)
+
+
+def _changes(state: DataFrame, done: list[tuple[int, int, int]], tried: list[tuple[int, int, int]], start: bool = False) -> DataFrame:
+    """(step, pair, change): counts of all pairs (step -1, where ``start``) and their changes under merges tried in turn after those done."""
+
+    def run(batches):
+        found: dict[int, list] = defaultdict(list)
+        waiting = 0
+        for b in batches:
+            words = _Words(b.column(0).flatten().to_numpy(), b.column(0).value_lengths().to_numpy(), b.column(1).to_numpy())
+            for m in done:
+                words.merge(*m, record=False)
+            if start:
+                found[-1].append(words.all_pairs())
+            for step, m in enumerate(tried):
+                found[step].append(words.merge(*m))
+            waiting += 1
+            if waiting == 32:
+                found, waiting = defaultdict(list, {k: [summed(*map(np.concatenate, zip(*v)))] for k, v in found.items()}), 0
+        for step, v in found.items():
+            keys, values = summed(*map(np.concatenate, zip(*v)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), step, "i4")), pa.array(keys), pa.array(values)], ["step", "pair", "change"])
+
+    parts = state.mapInArrow(run, "step int, pair long, change long")
+    return parts.groupBy("step", "pair").agg(F.sum("change").alias("change")).filter("change <> 0")
+
+
+def _advanced(state: DataFrame, done: list[tuple[int, int, int]]) -> DataFrame:
+    """The words after merges."""
+
+    def run(batches):
+        for b in batches:
+            words = _Words(b.column(0).flatten().to_numpy(), b.column(0).value_lengths().to_numpy(), b.column(1).to_numpy())
+            for m in done:
+                words.merge(*m, record=False)
+            inner = words.symbols != _GAP
+            ends = np.cumsum(inner)[~inner]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(words.symbols[inner])), b.column(1)], ["symbols", "count"])
+
+    return state.mapInArrow(run, "symbols array<int>, count long")
+
+
+def _frequent(state: DataFrame, bound: int) -> list:
+    """The commonest words, as many whole classes of counts (by eighths of a power of two) as the bound allows."""
+    level = F.floor(F.log2("count") * 8)
+    at, n = None, 0
+    for r in sorted(state.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        n += r.n
+        if n > bound:
+            break
+        at = r.level
+    return [] if at is None else state.filter(level >= at).collect()
+
+
+def train(docs: DataFrame, n: int = 2000, frequent: int = 1 << 16, most: int = 256, store_every: int = 64) -> Merges:
+    """Merges over all distinct words, which stay on the cluster; the driver holds the counts of pairs of symbols.
+
+    The driver proposes the next merges from the exact counts of pairs and, for their changes, from
+    the commonest words. The cluster applies the proposals to every word and returns how the count
+    of each pair changes at each step. With these the driver goes through the steps: a
+    proposal counts if it is the commonest pair by exact counts, and the first that is not ends the
+    round. So the frequent words decide only how many merges a round yields (one at least), never which.
+    """
+    spark = docs.sparkSession
+    counts = word_counts(docs)
+    chars = F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    path = scratch(spark, "bpe-words")
+    counts.select(F.concat(chars, F.array(F.lit(_LONGER))).alias("symbols"), "count").write.parquet(path)
+    read = lambda path: spark.read.parquet(path).coalesce(spark.sparkContext.defaultParallelism)  # noqa: E731, a task for each core: there are many rounds
+    state = read(path)
+    names, ids = {_LONGER: END}, {END: _LONGER}
+    name = lambda i: names.get(i) or chr(i)
+
+    def number(symbol: str) -> int:
+        if len(symbol) == 1:
+            return ord(symbol)
+        i = ids.setdefault(symbol, _LONGER + len(ids))
+        names[i] = symbol
+        return i
+
+    numbered = lambda pair: (number(pair[0]), number(pair[1]), number(pair[0] + pair[1]))
+    named = lambda key: (name(key >> 32), name(key & 0xFFFFFFFF))
+    exact = _PairCounts({named(r.pair): r.change for r in _changes(state, [], [], True).collect()})  # pairs of characters
+    start = len(set(chain.from_iterable(exact.total)))
+    some = _frequent(state, frequent)
+    own = _Words(np.array([x for r in some for x in r[0]], "i4"), np.array([len(r[0]) for r in some], "i8"), np.array([r[1] for r in some], "i8"))
+    merges, history, done, size = [], [], [], 64
+    while len(merges) < n:
+        guess, words = _PairCounts(dict(exact.total)), _Words(np.empty(0, "i4"), np.empty(0, "i8"), np.empty(0, "i8"))
+        words.symbols, words.counts = own.symbols.copy(), own.counts
+        tried: list[tuple[str, str]] = []
+        while len(tried) < min(size, most, n - len(merges)) and (best := guess.best()) and -best[0] >= 2:
+            c, pair = -best[0], best[1]
+            tried.append(pair)
+            keys, values = words.merge(*numbered(pair))
+            a, b, _ = numbered(pair)
+            seen = -values[keys == (a << 32 | b)].sum()
+            if not seen:
+                break
+            guess.merged(pair, [(named(int(k)), int(v) * c / seen) for k, v in zip(keys, values)])
+        if not tried:
+            break
+        changes: dict[int, list] = defaultdict(list)
+        for r in _changes(state, done, [numbered(p) for p in tried]).toLocalIterator():
+            changes[r.step].append((named(r.pair), r.change))
+        taken = 0
+        for step, pair in enumerate(tried):
+            best = exact.best()
+            if best is None or best[1] != pair or -best[0] < 2:
+                break
+            merges.append(pair)
+            if len(history) < 30:
+                history.append({"step": len(merges), "pair": pair, "count": -best[0]})
+            exact.merged(pair, changes[step])
+            done.append(numbered(pair))
+            own.merge(*numbered(pair), record=False)
+            taken += 1
+        size = max(8, 2 * taken)
+        if len(done) >= store_every and len(merges) < n:
+            old, path = path, scratch(spark, "bpe-words")
+            _advanced(state, done).write.parquet(path)
+            state, done = read(path), []
+            discard(spark, old)
+    discard(spark, path)
+    return Merges(merges, start, history)
 
 
 def train_bytes(docs: DataFrame, vocab_size: int = 8000, max_bytes: int = 64 << 20):

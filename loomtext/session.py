@@ -35,3 +35,9 @@ def scratch(spark: SparkSession, name: str) -> str:
         shared = "file://" + tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``scratch`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,6 +1,7 @@
 """Queries that SQL cannot express, and operators without a query, against plain Python on small data."""
 
 import collections
+import inspect
 import json
 import os
 import re
@@ -167,6 +168,28 @@ def test_bpe(spark, texts):
     assert bpe.word_pieces(["the", "1/2"], {"m": m})[1]["m"] == m.encode_word("1") + m.encode_word("2")
 
 
+def test_bpe_keeps_words_on_the_cluster(spark, monkeypatch):
+    words = ["".join(chr(97 + (i * k) % 7) for k in range(1, 2 + i % 9)) + str(i * 37 % 1999) for i in range(4000)] + ["aaaa", "aaa", "aaaaa", "abab", "babab"] * 9
+    d = spark.createDataFrame([(i, " ".join(words[i::40])) for i in range(40)] + [(99, None), (100, "")], "doc_id long, text string")
+    counts = dict(sorted(collections.Counter(x for w in words for x in re.findall("[a-z]+|[0-9]+", w)).items()))
+    seen, frame = [], type(d)
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), **b: (rows := [*f(self, *a, **b)], seen.extend(r for r in rows if "word" in r or "symbols" in r))[0])
+    few = {"frequent": 100, "store_every": 7} if "frequent" in inspect.signature(bpe.train).parameters else {}
+    got = bpe.train(d, 60, **few)
+    want = bpe.Merges.train(counts, 60)
+    assert (got.merges, got.symbols, got.history) == (want.merges, want.symbols, want.history)
+    assert len(seen) <= 100 < len(counts)
+    assert bpe.train(d.limit(0), 5).merges == []
+
+
+def test_piece_counts(spark):
+    m = bpe.Merges.train({"low": 5, "lower": 2}, 3)
+    d = spark.createDataFrame([(1, ["low", "lower", "low"]), (2, []), (3, None), (4, ["x"])], "id long, w array<string>")
+    want = {r.id: len(r.p) for r in d.filter("w is not null").select("id", m.encode(F.col("w")).alias("p")).collect()} | {3: None}
+    assert {r.id: r.n for r in d.select("id", m.piece_counts(F.col("w")).alias("n")).collect()} == want
+
+
 def test_byte_bpe(spark):
     d = spark.createDataFrame([(i, "low lower lowest newer wider") for i in range(20)] + [(99, None)], "doc_id long, text string")
     t = bpe.train_bytes(d, 300)
